@@ -1,0 +1,42 @@
+"""The queries of the numbered problems: name -> callable(spark, sf_dir)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.packing import pack
+
+    return pack(table(spark, d, "documents"), "doc_id", "text", 512)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("pieces > 1").select("doc_id").distinct()
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.packing import fill
+
+    return fill(_packed(spark, d))
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from lodestone.llm.sql import ORACLES
+
+    return dict(ORACLES)
