@@ -32,6 +32,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(_packed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_residue(spark, d).select("doc_id").distinct()
+
+
+def p8_residue(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.residue import detect_residue
+
+    return detect_residue(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
