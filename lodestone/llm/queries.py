@@ -12,6 +12,20 @@ from lodestone.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.splitting import split_items
+
+    return split_items(table(spark, d, "chunks"), "ord", "text", "start_line", "end_line", 1500, 150)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("pieces > 1").select("ord").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
