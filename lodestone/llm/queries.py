@@ -26,6 +26,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("ord_a", "ord_b")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.near_duplicates import near_duplicate_pairs
+
+    pairs = near_duplicate_pairs(table(spark, d, "chunks"), "ord", "text", size=3, threshold=0.5)
+    return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.llm.packing import pack
 
