@@ -12,6 +12,17 @@ from lodestone.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p3_neighbours(spark, d)
+    return near.select(F.least("ord", "neighbour").alias("ord_a"), F.greatest("ord", "neighbour").alias("ord_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.neighbours import nearest
+
+    return nearest(table(spark, d, "vectors"), "ord", "embedding", k=10, dims=64)
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.llm.splitting import split_items
 
