@@ -68,6 +68,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(_packed(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.leakage import find_leaks
+
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "task")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_residue(spark, d).select("doc_id").distinct()
 
