@@ -12,6 +12,16 @@ from lodestone.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("file", "name").distinct()
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.code_docs import documented_functions
+
+    return documented_functions(table(spark, d, "source_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = p3_neighbours(spark, d)
     return near.select(F.least("ord", "neighbour").alias("ord_a"), F.greatest("ord", "neighbour").alias("ord_b")).distinct()
