@@ -22,6 +22,16 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(table(spark, d, "source_files"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_files(spark, d).select("file").distinct()
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.foreign_files import foreign_files
+
+    return foreign_files(table(spark, d, "source_files"), table(spark, d, "packages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = p3_neighbours(spark, d)
     return near.select(F.least("ord", "neighbour").alias("ord_a"), F.greatest("ord", "neighbour").alias("ord_b")).distinct()
