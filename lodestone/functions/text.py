@@ -14,14 +14,15 @@ STOPWORDS = (
 _MARK = "\u0001"
 
 
-def _kept(token: Column) -> Column:
-    return (F.length(token) > 1) & ~token.isin(*STOPWORDS)
+#: A word with an inner hump, and the same with the end mark of its second copy.
+_HUMPED = "(?<![A-Za-z0-9])(?:[A-Z]*+[a-z0-9]++[A-Z]|[A-Z]{2,}[a-z])[A-Za-z0-9]*+"
+_END = "\u0004"
 
 
-def _camel_marked(text: Column) -> Column:
+def _camel_marked(text: Column, ahead: str = "") -> Column:
     """A mark between the humps of camel-cased words: `parseHTTPBody` -> parse|HTTP|Body."""
-    marked = F.regexp_replace(text, "([a-z0-9])([A-Z])", f"$1{_MARK}$2")
-    return F.regexp_replace(marked, "([A-Z]+)([A-Z][a-z])", f"$1{_MARK}$2")
+    marked = F.regexp_replace(text, f"([a-z0-9])([A-Z]){ahead}", f"$1{_MARK}$2")
+    return F.regexp_replace(marked, f"([A-Z]+)([A-Z][a-z]){ahead}", f"$1{_MARK}$2")
 
 
 def tokenize(text: Column) -> Column:
@@ -30,14 +31,24 @@ def tokenize(text: Column) -> Column:
     Words are runs of ASCII letters and digits, lower-cased; a camel-cased word is
     followed by its parts. Tokens of one character and stopwords are left out.
     Null gives null, an empty text an empty array.
+
+    Camel-cased words are doubled in the text and the second copy is taken apart there,
+    by regular expressions over the whole text; only lower-casing and the filter look at
+    tokens one by one.
     """
-    words = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: w != "")
+    clean = F.translate(text, _MARK + _END, "  ")
+    doubled = F.regexp_replace(clean, f"({_HUMPED})", f"$1 $1{_END}")
+    parts = _camel_marked(doubled, f"(?=[A-Za-z0-9{_MARK}]*+{_END})")
+    words = F.split(parts, "[^A-Za-z0-9]+")
+    return F.filter(F.transform(words, F.lower), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+
 
-    def emit(word: Column) -> Column:
-        parts = F.split(_camel_marked(word), _MARK)
-        return F.when(F.size(parts) > 1, F.concat(F.array(word), parts)).otherwise(F.array(word))
+def explode_tokens(text: Column) -> Column:
+    """One row for each token; drop the null row of a text without tokens.
 
-    return F.filter(F.flatten(F.transform(words, lambda w: F.transform(emit(w), F.lower))), _kept)
+    An outer generator: for a plain one the optimizer would filter by the array's size first and tokenize twice.
+    """
+    return F.explode_outer(tokenize(text))
 
 
 def token_count(text: Column) -> Column:
@@ -51,6 +62,6 @@ def token_count(text: Column) -> Column:
     not_stop = f"(?!(?i:{'|'.join(STOPWORDS)})(?![A-Za-z0-9]))"
     word = f"(?<![A-Za-z0-9]){not_stop}[A-Za-z0-9]{{2,}}+"
     # Words with an inner hump, alone; all other text needs no second look.
-    humped = F.regexp_extract_all(clean, F.lit("(?<![A-Za-z0-9])(?:[A-Z]*+[a-z0-9]++[A-Z]|[A-Z]{2,}[a-z])[A-Za-z0-9]*+"), F.lit(0))
+    humped = F.regexp_extract_all(clean, F.lit(_HUMPED), F.lit(0))
     parts = F.regexp_count(_camel_marked(F.array_join(humped, " ")), F.lit(word))
     return (F.regexp_count(clean, F.lit(word)) + parts).cast("long")
