@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import explode_tokens, token_count, tokenize
 from lodestone.functions.vector import dot, norm
 from lodestone.operators.ranking import global_rank
+from lodestone.tables import ensure_checkpoint_dir
 
 K1, B = 1.5, 0.75
 TOP = 80
@@ -41,7 +42,9 @@ def bm25(chunks: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     # The length in a projection of its own: beside the generator it would be computed for every token.
     sized = chunks.select("ord", "file", "text", token_count(F.col("text")).alias("len"))
     found = sized.select("ord", "file", "len", explode_tokens(F.col("text")).alias("term")).join(wanted, "term", "left_semi")
-    tf = found.groupBy("ord", "file", "len", "term").agg(F.count("*").alias("tf"))
+    # Only the query's terms are left: written once, read for the frequencies and for the scores.
+    ensure_checkpoint_dir(chunks.sparkSession)
+    tf = found.groupBy("ord", "file", "len", "term").agg(F.count("*").alias("tf")).checkpoint()
     df = tf.groupBy("term").agg(F.count("*").alias("n"))
     # One row: broadcasting it is bounded by its form.
     scored = tf.join(df, "term").crossJoin(F.broadcast(corpus_stats(chunks)))

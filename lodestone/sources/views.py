@@ -17,7 +17,10 @@ def _latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def chunks_now(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each id as it was last delivered; line ranges in order."""
-    c = _latest(table(spark, d, "chunks"), "chunk_id", F.desc("ord"))
+    all_ = table(spark, d, "chunks")
+    # The last ord of each id first: only ids and ords are aggregated, and what a caller does not select is never read.
+    last = all_.groupBy("chunk_id").agg(F.max("ord").alias("ord")).select("ord")
+    c = all_.join(last, "ord", "left_semi")
     low, high = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
     return c.withColumns({"start_line": low, "end_line": high, "pkg": F.trim("pkg"), "text": F.coalesce("text", F.lit(""))})
 

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows cost far more to work on than to move.
+HEAVY = {"chunks", "documents", "source_files", "vectors"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data directory (a Parquet file or a directory of them)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table `name` of a data directory (a Parquet file or a directory of them).
+
+    A heavy table in fewer files than there are cores is spread over them; a table of many
+    files, as on a cluster, is read as it lies.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and len(df._jdf.inputFiles()) < cores else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
