@@ -82,7 +82,8 @@ def _ends(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int]]:
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a[i - 1] != y))
         for j, cost in enumerate(row):
-            if cost <= most and (cost not in best or i > best[cost][0]):
+            # An extension ends on a word that both have.
+            if cost <= most and i and j and a[i - 1] == b[j - 1] and (cost not in best or i > best[cost][0]):
                 best[cost] = (i, j)
     return [(e, *best[e]) for e in sorted(best)]
 

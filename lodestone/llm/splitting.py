@@ -137,7 +137,7 @@ def split_items(items: DataFrame, id_col: str, text_col: str, start_line: str |
         F.struct(F.lit(0).alias("start"), length.alias("end"), F.lit(0).alias("first"), (F.size(F.split("text", "\n")) - 1).alias("last"), F.lit(1).alias("pieces")).alias("s"),
     )
     # Lines of the text that come before the item's own lines.
-    before = F.greatest(F.lit(0), F.size(F.split("text", "\n")) - (F.col("_to") - F.col("_from") + 1))
+    before = F.greatest(F.lit(0), F.size(F.split(F.regexp_replace("text", "\n\\z", ""), "\n")) - (F.col("_to") - F.col("_from") + 1))
     at = lambda n: F.least(F.col("_to"), F.col("_from") + F.greatest(F.lit(0), n - before))
     return long.unionByName(short).select(
         F.col("_id").alias(id_col), "piece", F.col("s.pieces").alias("pieces"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"),
