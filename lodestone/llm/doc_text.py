@@ -33,8 +33,10 @@ _DIRECTIVE = re.compile(
 _TASK = re.compile(r"^\W*(?:TODO|FIXME|XXX|HACK|BUG|WIP|TBD|OPTIMIZE|REVIEW|NOTE TO SELF)\b")
 _TAG = re.compile(r"^@\w")
 _HEADING = re.compile(r"^(?:[-=#*~_+/\\.]{2,}.*|.*[-=#*~_+/\\]{3,}|section\s*:.*|#{1,6}\s.*)$", re.I)
+# Disabled code: declarations, statements, calls and what ends or goes on like code.
 _CODE = re.compile(
-    r"^(?:const|let|var|return|if\s*\(|for\s*\(|while\s*\(|await|throw|import|export|switch\s*\(|case|function|class|new|async|try|else|catch)\b.*[=({;:]|[;{}]\s*$(?<=[)\]}\w'\"`{;])(?<!\w;)|^\W*$|=>|^[\w$.]+\s*[-+*|&]?=[^=]|^[\w$.]+\([^)]*\)?;?$|^\}|\w\.\w+\([^)]*\)?;?\s*$|[)\]'\"\w];\s*$(?<=\);)"
+    r"^(?:const|let|var)\s+[\w${\[].*=|^return\b.*;\s*$|^(?:if|for|while|switch|catch)\s*\(|^(?:await|throw\s+new|new|yield|delete)\s+[\w$.]+\(|^(?:import|export|case|function|class|async)\b.*[;({:]\s*$"
+    r"|=>|^[\w$.]+\s*[-+*|&]?=[^=]|^[\w$.]+\([^)]*\)?;?$|\w\.\w+\([^)]*\)?;?\s*$|^\}|[{}]\s*$|[)\]'\"`];\s*$"
 )
 _SPLIT = re.compile(r"(?<=[.!?;:。！？])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")

@@ -33,14 +33,17 @@ def p2_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p3_neighbours(spark, d)
+    from lodestone.llm.neighbours import nearest
+
+    near = nearest(table(spark, d, "vectors"), "ord", "embedding", k=10, dims=64)
     return near.select(F.least("ord", "neighbour").alias("ord_a"), F.greatest("ord", "neighbour").alias("ord_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of every row whose ord is divisible by 50, among all rows."""
     from lodestone.llm.neighbours import nearest
 
-    return nearest(table(spark, d, "vectors"), "ord", "embedding", k=10, dims=64)
+    return nearest(table(spark, d, "vectors"), "ord", "embedding", k=10, dims=64, queries=F.col("_id") % 50 == 0)
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -58,14 +61,23 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_pairs(spark, d).select("ord_a", "ord_b")
-
-
-def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     from lodestone.llm.near_duplicates import near_duplicate_pairs
 
     pairs = near_duplicate_pairs(table(spark, d, "chunks"), "ord", "text", size=3, threshold=0.5)
-    return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"), F.round("similarity", 6).alias("similarity"))
+    return pairs.select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between different texts, each by its smallest ord."""
+    from lodestone.llm.near_duplicates import near_duplicate_links
+
+    return near_duplicate_links(table(spark, d, "chunks"), "ord", "text").select(F.col("id_a").alias("ord_a"), F.col("id_b").alias("ord_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.llm.near_duplicates import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, d, "chunks"), "ord", "text")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestone.llm.fm_index import FMIndex, suffix_order
 from lodestone.llm.foreign_files import content_kind, directory_hashes, foreign_files
 from lodestone.llm.golay import decode, near_codes, syndrome
 from lodestone.llm.leakage import find_leaks, words_of
-from lodestone.llm.near_duplicates import near_duplicate_pairs
+from lodestone.llm.near_duplicates import components, near_duplicate_groups, near_duplicate_links, near_duplicate_pairs
 from lodestone.llm.neighbours import buckets, hadamard, nearest
 from lodestone.llm.packing import fill, pack, pack_group
 from lodestone.llm.residue import detect_residue, residue_of
@@ -266,6 +266,23 @@ def test_near_duplicates(spark, size, threshold):
     assert near_duplicate_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (200, 201)]
+    got = {r["v"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_and_links(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join([*w[:30], "x", *w[31:]]), " ".join([*w[:30], "x", *w[31:58], "y", w[59]])
+    rows = [(5, a), (1, a), (2, b), (3, c), (4, "quite another text with its own words here"), (6, None), (7, "same few words in this one"), (8, "same few words in this one")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: (r["group"], r["links"]) for r in near_duplicate_groups(df, "id", "text").collect()}
+    assert got == {1: (1, 2), 5: (1, 2), 2: (1, 3), 3: (1, 1), 7: (7, 1), 8: (7, 1)}
+    assert {(r["id_a"], r["id_b"]) for r in near_duplicate_links(df, "id", "text").collect()} == {(1, 2), (2, 3)}
+
+
 # Problem 6
 
 
