@@ -94,7 +94,7 @@ def package_weights(roles: DataFrame, hits: DataFrame, static: dict[str, float]
 def weigh(fused: DataFrame, files: DataFrame, weights: DataFrame) -> DataFrame:
     """(file, pkg, score, list, rank): fused scores times the weight of the file's package; 1 where there is none."""
     w = weights.select(F.col("name").alias("pkg"), "weight")
-    joined = fused.join(files.select("file", "pkg"), "file", "left").join(F.broadcast(w), "pkg", "left")
+    joined = fused.join(files.select("file", "pkg"), "file", "left").join(w, "pkg", "left")
     return joined.select("file", "pkg", F.round(F.col("score") * F.coalesce("weight", F.lit(1.0)), 9).alias("score"), "list", "rank")
 
 
