@@ -47,13 +47,11 @@ class Phrases:
     places: list[list[tuple[int, int]]]
 
 
-def phrases_of(items: list[tuple[object, str]], formulas: set[str]) -> Phrases:
+def phrases_of(items: list[tuple[object, str]]) -> Phrases:
     numbers: dict[str, int] = {}
     coded, at = [], defaultdict(list)
     for item_id, text in items:
-        head, colon, rest = (text or "").partition(":")
-        words = words_of(rest if colon and head in formulas else text or "")
-        coded.append((item_id, [numbers.setdefault(w, len(numbers) + 2) for w in words]))
+        coded.append((item_id, [numbers.setdefault(w, len(numbers) + 2) for w in words_of(text or "")]))
     for i, (_, codes) in enumerate(coded):
         for p in range(len(codes) - PHRASE + 1):
             at[tuple(codes[p : p + PHRASE])].append((i, p))
@@ -172,11 +170,13 @@ def search_shard(ids: list, docs: list[list[str]], block: Phrases, least: int, o
             yield ids[d], block.items[item][0], *leak
 
 
-def shared_formulas(items: DataFrame, text_col: str) -> set[str]:
-    """Openings up to the first colon that several items share; as many as there are kinds of task."""
-    head = F.split(F.col(text_col), ":", 2)
-    shared = items.where(F.contains(F.col(text_col), F.lit(":"))).groupBy(head[0].alias("head")).count().where("count > 1")
-    return {r["head"] for r in shared.select("head").toLocalIterator()}
+def without_formulas(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, text): the items without an opening, up to the first colon, that another item has too."""
+    text = F.col(text_col)
+    own = items.select(F.col(item_col).alias("_item"), text.alias("_text"), F.when(F.contains(text, F.lit(":")), F.split(text, ":", 2)[0]).alias("_head")).distinct()
+    shared = own.where("_head is not null").groupBy("_head").agg(F.countDistinct("_item").alias("_n")).where("_n > 1")
+    rest = F.expr("substring(_text, length(_head) + 2)")
+    return own.join(shared, "_head", "left").select("_item", F.when(F.col("_n").isNotNull(), rest).otherwise(F.col("_text")).alias("_text"))
 
 
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, least: int = 20, one_in: int = 8) -> DataFrame:
@@ -196,13 +196,13 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     spark = docs.sparkSession
     types = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"_id {types[0]}, _item {types[1]}, words int, edits int, start_word int, end_word int"
-    formulas = shared_formulas(items, item_text)
+    plain = without_formulas(items, item_col, item_text)
     blocks = max(1, -(-items.count() // ITEMS))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     found = None
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == b) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in own.select(item_col, item_text).distinct().collect()], formulas))
+        own = plain.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b) if blocks > 1 else plain
+        sent = spark.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in own.collect()]))  # a block of about ITEMS
 
         def search(batches, sent=sent):
             ids, texts, size = [], [], 0
