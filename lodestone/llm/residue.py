@@ -83,7 +83,7 @@ def _sentence_kind(sentence: str) -> str | None:
     spans, kinds, filler = [], set(), 0
     for end, (length, kind) in _automaton().iter(plain):
         start = end + 1 - length
-        if (start and plain[start].isalnum() and plain[start - 1].isalnum()) or (end + 1 < len(plain) and plain[end].isalnum() and plain[end + 1].isalnum()):
+        if (start and plain[start].isalnum() and plain[start - 1].isalnum()) or (end + 1 < len(plain) and plain[end].isalpha() and plain[end + 1].isalnum()):
             continue
         spans.append((start, end + 1))
         if kind == "word":

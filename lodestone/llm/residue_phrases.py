@@ -14,7 +14,7 @@ STRONG = {
         something went wrong|this should not have happened|that did not work|we hit a snag|an error occurred|an unexpected error|error while loading|nosuchkey|accessdenied|not_found
         cannot be shown|could not be found|cannot be found|is not available|has been deleted|has been removed|no longer exists|does not exist|could not be loaded|failed to load|does not work without
         this file is too large|ask an owner for access|membership in this group|request access below|you cannot view this|you do not have access|you don't have permission|http 4|http 5|gone
-        service_unavailable|internal_server_error|bad_gateway|too_many_requests|did not answer in time|timed out|request timeout|internal_error|rate_limited
+        service_unavailable|internal_server_error|bad_gateway|too_many_requests|did not answer in time|quota exceeded|limit exceeded|slowdown|has been moved|moved or removed|timed out|request timeout|internal_error|rate_limited
         acesso negado|página não encontrada|pagina nao encontrada|não foi encontrada|não foi encontrado|ocorreu um erro|erro inesperado|erro interno|não está disponível|algo deu errado|não foi possível carregar
         acceso denegado|página no encontrada|no se pudo cargar|se produjo un error|ha ocurrido un error|error interno|que busca no existe|no está disponible|algo salió mal|no encontrada
         zugriff verweigert|seite nicht gefunden|nicht erreichbar|nicht gefunden|ein fehler ist aufgetreten|interner fehler|nicht verfügbar|etwas ist schiefgelaufen|seite existiert nicht|konnte nicht geladen werden
@@ -32,7 +32,7 @@ STRONG = {
     """,
     "script": """
         enable javascript|enabling javascript|allow javascript|activate javascript|turn on javascript|need javascript|needs javascript|require javascript|requires javascript|needs to have javascript|javascript enabled|javascript must be
-        enable scripts|allow scripts|activate scripts|turn on scripts|turn scripts on|scripts are needed|scripts and cookies|needs scripts|requires scripts|without scripts|depends on scripts|depends on javascript|depends on client-side|scripts enabled|client-side scripts
+        enable scripts|allow scripts|activate scripts|turn on scripts|turn scripts on|scripts are needed|scripts and cookies|needs scripts|requires scripts|without scripts|without javascript|depends on scripts|depends on javascript|depends on client-side|scripts enabled|client-side scripts
         javascript has been|javascript is|javascript and cookies|scripts has been|scripts have been|scripts is|blocks scripts|javascript could not|seems to be blocked|is switched off|is disabled|has been disabled|have been disabled
         unsupported browser|browser is too old|browser is not supported|no longer supported by|your browser does not support|you need to allow|you need to enable|until you allow it|noscript
         precisa de javascript|habilite o javascript|ative o javascript|bloqueou os scripts|requer javascript|habilitar javascript|necesita javascript|active los scripts|active javascript|requiere javascript|habilite javascript|es necesario habilitar
