@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.tables import ensure_checkpoint_dir
+
 #: Markdown is never a case.
 MARKDOWN = r"(?i)\.mdx?$"
 #: A shared subtree counts from so many files and characters; smaller ones (a lone index file) are alike by chance.
@@ -86,8 +88,9 @@ def directory_hashes(files: DataFrame, file_col: str, content_col: str) -> DataF
     single task. One aggregation for each level of the deepest path.
     """
     leaf = files.select(F.col(file_col).alias("path"), F.col(content_col).alias("_c")).where(F.col("path").isNotNull())
-    leaf = leaf.groupBy("path").agg(F.max(F.struct(F.xxhash64("_c").alias("h1"), F.hash("_c").cast("long").alias("h2"), F.coalesce(F.length("_c"), F.lit(0)).cast("long").alias("chars"))).alias("x"))
-    leaf = leaf.select("path", F.size(F.split("path", "/")).alias("depth"), "x.h1", "x.h2", F.lit(1).cast("long").alias("files"), "x.chars")
+    leaf = leaf.groupBy("path").agg(F.max(F.xxhash64("_c")).alias("h1"), F.max(F.hash("_c")).cast("long").alias("h2"), F.max(F.coalesce(F.length("_c"), F.lit(0))).cast("long").alias("chars"))
+    ensure_checkpoint_dir(files.sparkSession)
+    leaf = leaf.select("path", F.size(F.split("path", "/")).alias("depth"), "h1", "h2", F.lit(1).cast("long").alias("files"), "chars").checkpoint()
     deepest = leaf.agg(F.max("depth")).first()[0] or 0
     found, level = None, None
     for depth in range(deepest, 1, -1):
@@ -103,6 +106,7 @@ def directory_hashes(files: DataFrame, file_col: str, content_col: str) -> DataF
                 F.sum("files").alias("files"), F.sum("chars").alias("chars"),
             )
             .withColumnRenamed("dir", "path")
+            .checkpoint()  # each level is read by the next and by the result: without a cut the plan would grow with the square of the depth
         )
         found = level if found is None else found.unionByName(level)
     if found is None:
