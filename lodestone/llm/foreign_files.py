@@ -25,8 +25,8 @@ PATH_RULES = {
 # What tools and copies say of themselves in the comments a file opens with.
 GENERATED = re.compile(
     r"auto-?generated|automatically generated|generated automatically|@generated\b|code generated by|generated by \S+ ?(?:v?\d|from|at|on|\.|$)|produced automatically|machine-(?:made|generated|written)|this file (?:is|was) (?:auto|generated|produced)"
-    r"|do not (?:edit|modify|change)(?: (?:this|it|by hand|manually|directly|the generated)|[.!;,]|\s*$)|changes (?:made here )?(?:will be|get|are) (?:lost|overwritten)|regenerate (?:rather|instead|with|it)|:output sha=|output, revision|<auto-generated|any changes will be"
-    r"|gerado automaticamente|não edite|generado automáticamente|no editar|no modificar|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|généré automatiquement|ne pas modifier",
+    r"|do not (?:edit|modify|change)(?: (?:this|it|by hand|manually|directly|the generated)|[.!;,]|\s*$)|changes (?:made here )?(?:will be|get|are) (?:lost|overwritten)|regenerate (?:rather|instead|with|it)|:output sha=|output, revision|emitted from \S+\.\w+|^\W*sourceHash \w+|<auto-generated|any changes will be"
+    r"|gerado por \S+ ?v?\d|generado por \S+ ?v?\d|generiert von \S+ ?v?\d|erzeugt von \S+ ?v?\d|généré par \S+ ?v?\d|cambios manuales se|alterações manuais|manuelle änderungen|modifications manuelles|gerado automaticamente|não edite|generado automáticamente|no editar|no modificar|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern|editieren)|généré automatiquement|ne pas modifier",
     re.I | re.M,
 )
 VENDORED = re.compile(
