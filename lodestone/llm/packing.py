@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_count
+from lodestone.tables import ensure_checkpoint_dir
 
 #: Cost of a text of n tokens in a sequence: LINEAR * n + QUADRATIC * n * n (attention within the text).
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
@@ -60,6 +61,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str, capacity: int = 512, size:
     """
     tokens = F.coalesce(size if size is not None else token_count(F.col(text_col)), F.lit(0)).cast("long")
     sized = docs.select(F.col(id_col).alias("_id"), tokens.alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    # Sizes are counted once, and the row numbers stay what they are if a task runs again.
+    ensure_checkpoint_dir(docs.sparkSession)
+    sized = sized.checkpoint()
     pieces = F.greatest(F.ceil(F.col("_n") / capacity), F.lit(1)).cast("int")
     split = sized.withColumn("pieces", pieces).select("_id", "_n", "_row", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     split = split.select(
@@ -67,7 +71,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, capacity: int = 512, size:
         (F.col("piece").cast("long") * capacity).alias("token_start"),
         F.least(F.col("_n") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int").alias("tokens"),
     )
-    groups = max(1, math.ceil(docs.count() / GROUP_ITEMS))
+    groups = max(1, math.ceil(sized.count() / GROUP_ITEMS))
     whole = (F.col("tokens") == capacity) & (F.col("pieces") > 1)
     id_type = docs.schema[id_col].dataType.simpleString()
 
