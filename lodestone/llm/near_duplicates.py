@@ -18,8 +18,11 @@ SEGMENTS, REACH, WORD_BITS = 12, 5, 2
 #: Words of an anchor: more than stock phrases have in a row. Texts of fewer than SHORT words get anchors of
 #: single runs as well; of two similar texts either both have one kind or both have the other.
 ANCHOR, SHORT = 6, 24
-#: Texts that may meet in one anchor alone. An anchor of more is a stock phrase or a large group, and counts together with another.
-HOT = 64
+#: Rows of an anchor above which it is a stock phrase or a large group: its pairs are screened by bitmaps of their runs before they are written,
+#: and its texts are spread over blocks of HOT_BLOCK, each meeting each. Both ways find the same pairs.
+HOT, HOT_BLOCK = 64, 8_192
+#: Longs of a bitmap, 64 bits each.
+BITMAP = 4
 #: Candidate texts up to which their ids (8 bytes each) are broadcast to fetch the texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -97,8 +100,8 @@ def _segments(words: np.ndarray, lengths: np.ndarray, run: int, seed: int) -> tu
     return has, anchors, segments
 
 
-def fingerprints(texts: list[str], size: int) -> list[tuple[int, list[int], list[int]] | None]:
-    """For each text (number of distinct runs of `size` words, anchors, segments); None below `size` words.
+def fingerprints(texts: list[str], size: int) -> list[tuple[int, list[int], list[int], list[int]] | None]:
+    """For each text (number of distinct runs of `size` words, anchors, segments, bitmap of the runs); None below `size` words.
 
     Segment k has its anchor at the run of words with the least hash under the k-th mixing, so
     two texts share the anchor as often as their runs overlap. The segment is 23 bits of the
@@ -111,7 +114,10 @@ def fingerprints(texts: list[str], size: int) -> list[tuple[int, list[int], list
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (hashed[order][1:] != hashed[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     distinct = np.bincount(owner[order][fresh], minlength=len(texts)).tolist()
-    found: list[tuple[int, list[int], list[int]] | None] = [(n, [], []) if n else None for n in distinct]
+    bitmaps = np.zeros((len(texts), BITMAP), dtype=np.uint64)
+    bit = hashed % np.uint64(64 * BITMAP)
+    np.bitwise_or.at(bitmaps, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << bit % np.uint64(64))
+    found: list[tuple[int, list[int], list[int], list[int]] | None] = [(n, [], [], b) if n else None for n, b in zip(distinct, bitmaps.view(np.int64).tolist())]
     short = np.where(lengths < SHORT, lengths, 0)
     for run, seed, per_text, of in ((ANCHOR, 0, lengths, words), (size, SEGMENTS, short, words[np.repeat(lengths < SHORT, lengths)])):
         has, anchors, segments = _segments(of, per_text, run, seed)
@@ -123,13 +129,14 @@ def fingerprints(texts: list[str], size: int) -> list[tuple[int, list[int], list
 
 
 def _fingerprint_udf(size: int):
-    @F.pandas_udf("struct<n:int,anchors:array<bigint>,segments:array<int>>")
+    @F.pandas_udf("struct<n:int,anchors:array<bigint>,segments:array<int>,bitmap:array<bigint>>")
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
         found = fingerprints(texts.tolist(), size)
         return pd.DataFrame({
             "n": pd.Series([f[0] if f else 0 for f in found], dtype="int32"),
             "anchors": [f[1] if f else [] for f in found],
             "segments": [f[2] if f else [] for f in found],
+            "bitmap": [f[3] if f else [] for f in found],
         })
 
     return fingerprint
@@ -165,6 +172,23 @@ def _sizes_allow(threshold: float) -> Column:
     return (F.col("n_a") * threshold <= F.col("n_b")) & (F.col("n_b") * threshold <= F.col("n_a"))
 
 
+def _bitmaps_allow(threshold: float) -> Column:
+    """Each bit in which two bitmaps differ comes from a run that only one of the sets has; similar sets have few of those."""
+    differ = sum((F.bit_count(F.col("m_a")[i].bitwiseXOR(F.col("m_b")[i])) for i in range(BITMAP)), F.lit(0))
+    return differ * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-6
+
+
+def _met_when_hot(hot: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that meet in a key (x, code) of a hot anchor: every block of its classes with every other and with itself."""
+    spread = hot.withColumn("blocks", F.ceil(F.col("_count") / HOT_BLOCK).cast("int"))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
+    keys = spread.select("x", "blocks", "own", "_class", "n", "bitmap", F.explode("codes").alias("code"))
+    a = keys.select("x", "code", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a"))
+    b = keys.select("x", "code", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b"))
+    met = a.join(b, ["x", "code", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _sizes_allow(threshold) & _bitmaps_allow(threshold))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _of_several(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that rows of different classes have, and of how many rows; partial aggregation keeps a hot key small."""
     short = F.hash("_class")
@@ -175,24 +199,20 @@ def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataF
     """(links between classes of equal texts: a, b, similarity; members: _class, _id)."""
     ensure_checkpoint_dir(rows.sparkSession)
     prints = rows.select("_class", "_id", _fingerprint_udf(size)("_text").alias("f")).where("f.n > 0")
-    prints = prints.select("_class", "_id", "f.n", "f.anchors", "f.segments").checkpoint()
+    prints = prints.select("_class", "_id", "f.n", "f.anchors", "f.segments", "f.bitmap").checkpoint()
     # One row for each segment; equal anchors of different segments are kept apart by the mixing.
-    parts = prints.select("_class", "n", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", "s.anchors", "s.segments")
-    shared = _of_several(parts, ["anchors"])
-    kept = parts.join(shared, "anchors").dropDuplicates(["anchors", "_class"])
-    # Few texts meet in most anchors. Where many do, they must meet in a second one of that kind too.
-    alone = kept.where(F.col("_count") <= HOT).select(F.col("anchors").alias("x"), F.lit(0).cast("long").alias("y"), "_class", "n", _near_codes_udf()("segments").alias("codes"))
-    own = kept.where(F.col("_count") > HOT).groupBy("_class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("anchors", "segments"))).alias("s")).where(F.size("s") > 1)
-    two = own.select("_class", "n", F.explode(F.expr("flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x, y))))")).alias("p"))
-    two = two.select("_class", "n", F.col("p.x.anchors").alias("x"), F.col("p.y.anchors").alias("y"), F.col("p.x.segments").alias("x_segment"), F.col("p.y.segments").alias("y_segment"))
-    met = two.join(_of_several(two, ["x", "y"]), ["x", "y"], "left_semi")
-    # Both segments' keys; the number of the segment keeps the two apart.
-    codes = F.concat(_near_codes_udf()("x_segment"), F.transform(_near_codes_udf()("y_segment"), lambda c: c + 4096))
-    together = met.select("x", "y", "_class", "n", codes.alias("codes"))
-    keys = alone.unionByName(together).select("x", "y", "_class", "n", F.explode("codes").alias("code"))
-    a = keys.select("x", "y", "code", F.col("_class").alias("a"), F.col("n").alias("n_a"))
-    b = keys.select("x", "y", "code", F.col("_class").alias("b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["x", "y", "code"]).where((F.col("a") < F.col("b")) & _sizes_allow(threshold)).select("a", "b").distinct().checkpoint()
+    parts = prints.select("_class", "n", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", F.col("s.anchors").alias("x"), "s.segments")
+    shared = _of_several(parts, ["x"])
+    kept = parts.join(shared, "x").dropDuplicates(["x", "_class"])
+    keys = kept.where(F.col("_count") <= HOT).select("x", "_class", "n", F.explode(_near_codes_udf()("segments")).alias("code"))
+    a = keys.select("x", "code", F.col("_class").alias("a"), F.col("n").alias("n_a"))
+    b = keys.select("x", "code", F.col("_class").alias("b"), F.col("n").alias("n_b"))
+    cold = a.join(b, ["x", "code"]).where((F.col("a") < F.col("b")) & _sizes_allow(threshold)).select("a", "b")
+    # Bitmaps go with the hot anchors alone.
+    stock = shared.where(F.col("_count") > HOT)
+    marked = prints.select("_class", "n", "bitmap", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", "bitmap", F.col("s.anchors").alias("x"), "s.segments")
+    hot = marked.join(stock, "x").dropDuplicates(["x", "_class"]).select("x", "_count", "_class", "n", "bitmap", _near_codes_udf()("segments").alias("codes")).checkpoint()
+    pairs = cold.unionByName(_met_when_hot(hot, threshold)).distinct().checkpoint()
     ids = pairs.select(F.col("a").alias("_class")).union(pairs.select(F.col("b"))).distinct().checkpoint()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = rows.join(wanted, "_class", "left_semi").dropDuplicates(["_class"]).select("_class", _shingle_udf(size)("_text").alias("s"))
@@ -210,9 +230,9 @@ def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, size: int
     each is decoded to its nearby Golay codewords (up to 6 keys), so that segments within
     2 bits of each other meet. A pair at the threshold has only a share of its segments
     damaged: some segment keeps its anchor and stays within 2 bits. The two texts meet in
-    its key, and the exact similarity decides. An anchor of more than HOT texts only counts
-    together with a second such anchor of the same two texts. Equal texts are one class all the way and only come apart in the
-    result, which therefore has every pair of copies.
+    its key, and the exact similarity decides. The many texts of a hot anchor all meet too,
+    block by block; bitmaps only drop pairs that cannot reach the threshold. Equal texts are
+    one class all the way and only come apart in the result, which therefore has every pair of copies.
 
     Texts with fewer than `size` words (null and empty ones too) have no runs and are in no
     pair. Rows with the same id are compared by their texts, never paired with themselves.

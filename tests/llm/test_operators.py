@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -266,6 +267,37 @@ def test_near_duplicates(spark, size, threshold):
     assert near_duplicate_pairs(df.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 50])
+def test_near_duplicates_that_share_one_stock_phrase_alone(spark, monkeypatch, block):
+    from lodestone.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "HOT_BLOCK", block, raising=False)
+    rnd = random.Random(8)
+    vocabulary, stock = [f"w{i}" for i in range(5000)], [f"stock{i}" for i in range(16)]
+    texts = []
+    for _ in range(300):
+        base = rnd.choices(vocabulary, k=26)
+        for edits in (rnd.sample(range(26), 3), ()):
+            texts.append(" ".join([*stock, *("edit" + str(rnd.random())[2:] if i in edits else w for i, w in enumerate(base))]))
+    prints = near_duplicates.fingerprints(texts, 3)
+    count = Counter(a for p in prints for a in set(p[1]))
+    codes = near_duplicates.near_codes
+    want = set()  # pairs that meet in one anchor alone, which is hot, with a code in common
+    for i in range(0, len(texts), 2):
+        one, two = (dict(zip(prints[j][1], prints[j][2])) for j in (i, i + 1))
+        met = [a for a in one if a in two]
+        if _jaccard(texts[i], texts[i + 1], 3) >= 0.5 and len(met) == 1 and count[met[0]] > near_duplicates.HOT:
+            if set(codes(np.array([one[met[0]]]))[0]) & set(codes(np.array([two[met[0]]]))[0]):
+                want.add((i, i + 1))
+    copies = [(1000 + i, texts[0]) for i in range(70)]
+    df = spark.createDataFrame(list(enumerate(texts)) + copies, "id long, text string")
+    got = [(r["id_a"], r["id_b"]) for r in near_duplicate_pairs(df, "id", "text", 3, 0.5).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got))
+    every = {(i, i + 1) for i in range(0, len(texts), 2) if _jaccard(texts[i], texts[i + 1], 3) >= 0.5}
+    assert len(every & set(got)) >= 0.97 * len(every)
+    assert {(1, i) for i, _ in copies} <= set(got) or (0, 1) not in set(got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (200, 201)]
     got = {r["v"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
