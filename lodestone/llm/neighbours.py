@@ -20,8 +20,8 @@ TABLES, AXES, PROBES = 12, 32, 2
 BLOCK = 24_576
 #: Rows a bucket should hold on average: at least, fewer axes are hashed below it; at most, a table joins more hashes into a bucket beyond it.
 LEAST, BUCKET = 256, 32_768
-#: Queries multiplied with a block at once, and candidates of a block that are compared exactly beyond k.
-ROWS, SPARE = 512, 3
+#: Queries multiplied with a block at once, and candidates compared exactly at once (a single query may have more).
+ROWS, PAIRS = 512, 200_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,31 +80,46 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.nd
     """(query id, neighbour ids, similarities) of the k most similar rows of a block, by exact double cosine."""
     x = x[(order := np.argsort(x_id, kind="stable"))]
     x_id = x_id[order]
-    x32, keep = x.astype(np.float32), min(k + SPARE + 1, len(x))
+    x32, keep = x.astype(np.float32), min(k + 1, len(x))  # the query itself may be among them
+    # What float32 and the rounding to 6 decimals can hide: no row within it of the keep-th best is left out.
+    close = np.float32(2e-6 + 2 * x.shape[1] * np.finfo(np.float32).eps)
     # A lower bound of the keep-th best from the best of each group of columns spares a full selection.
     width = max(1, len(x) // max(128, 4 * keep))
     whole = len(x) // width * width
     for at in range(0, len(q), ROWS):
-        part = q[at : at + ROWS]
+        part, part_id = q[at : at + ROWS], q_id[at : at + ROWS]
         sims = part.astype(np.float32) @ x32.T
         best = sims[:, :whole].reshape(len(part), -1, width).max(axis=2)
         bound = np.partition(best, -keep, axis=1)[:, -keep] if best.shape[1] > keep else best.min(axis=1)
-        row, col = np.nonzero(sims >= bound[:, None])
-        order = np.lexsort((-sims[row, col], row))
-        row, col = row[order], col[order]
-        first = np.searchsorted(row, np.arange(len(part)))
-        place = np.arange(len(row)) - first[row]
-        row, col = row[place < keep], col[place < keep]
-        exact = np.round(np.einsum("ij,ij->i", part[row], x[col]), 6)
-        other = x_id[col] != q_id[at : at + ROWS][row]
-        row, col, exact = row[other], col[other], exact[other]
-        order = np.lexsort((x_id[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, np.arange(len(part) + 1))
-        for r in range(len(part)):
-            a, b = first[r], min(first[r + 1], first[r] + k)
-            if b > a:
-                yield q_id[at + r], x_id[col[a:b]], exact[a:b]
+        likely = sims >= (bound - close)[:, None]
+        upto = np.cumsum(likely.sum(axis=1))
+        a = 0
+        while a < len(part):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+            yield from _exact(part_id[a:b], part[a:b], x_id, x, sims[a:b], likely[a:b], k, keep, close)
+            a = b
+
+
+def _exact(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, sims: np.ndarray, likely: np.ndarray, k: int, keep: int, close: np.float32):
+    """The k best of the likely rows of each query; x_id ascends."""
+    row, col = np.nonzero(likely)
+    value = sims[row, col]
+    order = np.lexsort((-value, row))
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, np.arange(len(q) + 1))
+    last = value[np.minimum(first[:-1] + keep, first[1:]) - 1]
+    near = value >= (last - close)[row]
+    row, col = row[near], col[near]
+    exact = np.round(np.einsum("ij,ij->i", q[row], x[col]), 6)
+    other = x_id[col] != q_id[row]
+    row, col, exact = row[other], col[other], exact[other]
+    order = np.lexsort((x_id[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.searchsorted(row, np.arange(len(q) + 1))
+    for r in range(len(q)):
+        a, b = first[r], min(first[r + 1], first[r] + k)
+        if b > a:
+            yield q_id[r], x_id[col[a:b]], exact[a:b]
 
 
 def _search(k: int, dims: int):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import doc_text, residue
+from lodestone.llm import doc_text, neighbours, residue
 from lodestone.llm.code_docs import documented_functions
 from lodestone.llm.code_spans import spans_of
 from lodestone.llm.fm_index import FMIndex, suffix_order
@@ -187,6 +187,17 @@ def test_nearest(spark):
     assert nearest(df.limit(0), "ord", "embedding").count() == 0
 
 
+def test_ties_beyond_float_precision_go_to_the_smaller_id(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=64) * rng.uniform(0.1, 9, size=(40, 1))).astype(np.float32)  # one direction at 40 lengths
+    x = np.vstack([x, rng.normal(size=(200, 64)).astype(np.float32)])
+    ids, unit = rng.permutation(len(x)) + 1, x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for pairs in (neighbours.PAIRS, 100) if hasattr(neighbours, "PAIRS") else (0,):
+        monkeypatch.setattr(neighbours, "PAIRS", pairs, raising=False)
+        got = {(int(i), int(o)) for i, others, _ in neighbours.nearest_in_block(ids, unit, ids, unit, 10) for o in others}
+        assert got == _brute(ids, x.astype(np.float64), 10)
+
+
 def test_rotation_keeps_lengths_and_probes_start_with_the_own_bucket():
     x = np.random.default_rng(0).normal(size=(50, 64))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
