@@ -16,10 +16,10 @@ from lodestone.tables import ensure_checkpoint_dir
 
 #: Tables, axes of the rotated space that are hashed, and probes for each hash.
 TABLES, AXES, PROBES = 12, 32, 2
-#: Rows of a bucket above which it is split into blocks, every query meeting every block.
+#: Rows of a bucket above which it is split into blocks; queries are split as well, and every block of queries meets every block of rows.
 BLOCK = 24_576
-#: Rows a bucket should hold on average: at least, fewer axes are hashed below it; at most, a table joins more hashes into a bucket beyond it.
-LEAST, BUCKET = 256, 32_768
+#: Rows a bucket should hold on average at least: fewer axes are hashed below it.
+LEAST = 256
 #: Queries multiplied with a block at once, and candidates compared exactly at once (a single query may have more).
 ROWS, PAIRS = 512, 200_000
 
@@ -175,21 +175,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataF
 
 def nearest(
     vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, dims: int = 64,
-    tables: int = TABLES, axes: int = AXES, probes: int = PROBES, hashes: int | None = None, queries: Column | None = None,
+    tables: int = TABLES, axes: int = AXES, probes: int = PROBES, hashes: int = 1, queries: Column | None = None,
 ) -> DataFrame:
     """For every usable vector its k most similar others: (id, neighbour, similarity, rank).
 
     Similarity is the cosine in double precision, rounded to 6 decimals; ties go to the
     smaller id. Each table hashes a vector to the nearest signed axis after a Hadamard
     pseudo-rotation; a query looks into the buckets of its `probes` nearest axes in every
-    table, and all rows of those buckets are compared exactly, block by block. `hashes`
-    joins several hashes into a bucket once buckets grow beyond BUCKET rows. A neighbour is
+    table, and all rows of those buckets are compared exactly, block by block. A neighbour is
     missed only if it shares no bucket; the tests measure the recall against brute force.
+    More `hashes` joined into a bucket make fewer comparisons and lose recall; that is never
+    done by itself, however many rows there are.
 
     Unusable vectors (null, other length, all zero, not finite) are left out. Of rows with
     one id the least vector counts. Equal vectors are one class during the search, so that
     copies, however many, cost no comparison; in the result they stand one by one. Buckets
-    above BLOCK rows are split. `queries` (a condition on `_id`) limits the queries, never
+    above BLOCK rows or queries are split. `queries` (a condition on `_id`) limits the queries, never
     the rows they are compared with. An empty table gives an empty result.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
@@ -200,19 +201,27 @@ def nearest(
     n = reps.count()
     # In few rows the k best are hardly nearer than the rest: wide buckets keep the recall.
     axes = max(1, min(axes, n // (2 * LEAST)))
-    if hashes is None:
-        hashes = max(1, math.ceil(math.log(max(1, n / BUCKET), 2 * axes))) if axes > 1 else 1
     # More hashes make a bucket narrower for near vectors too; more tables make up for it.
     tables = tables * 2 ** (hashes - 1)
     per = probes**hashes
     spread = reps.select("_id", _bucket_udf(tables, hashes, axes, probes)("v").alias("b")).select("_id", "b.e", F.posexplode("b.buckets").alias("p", "bucket"))
     spread = spread.select("_id", "e", F.floor(F.col("p") / per).cast("int").alias("t"), (F.col("p") % per == 0).alias("index"), "bucket")
-    sizes = reps.select(_bucket_udf(tables, hashes, axes, probes)("v").alias("b")).select(F.posexplode("b.buckets").alias("p", "bucket")).where(F.col("p") % per == 0)
-    split = sizes.groupBy(F.floor(F.col("p") / per).cast("int").alias("t"), "bucket").count().where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = spread.join(split, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("index", F.col("index") & (F.col("block") == own))
-    placed = placed.withColumn("query", queries if queries is not None else F.lit(True)).where("index or query")
+    asks = queries if queries is not None else F.lit(True)
+    spread = spread.withColumn("query", asks).where("index or query")
+    sizes = reps.select("_id", _bucket_udf(tables, hashes, axes, probes)("v").alias("b")).select("_id", F.posexplode("b.buckets").alias("p", "bucket"))
+    counts = sizes.groupBy(F.floor(F.col("p") / per).cast("int").alias("t"), "bucket").agg(F.sum((F.col("p") % per == 0).cast("long")).alias("rows"), F.sum(asks.cast("long")).alias("asked"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    split = counts.where((F.col("rows") > BLOCK) | (F.col("asked") > BLOCK)).select("t", "bucket", blocks("rows").alias("blocks"), blocks("asked").alias("parts"))
+    placed = spread.join(split, ["t", "bucket"], "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+    # A row stands in its block for every part of the queries, a query in its part for every block.
+    block, part = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"), F.pmod(F.hash("_id"), F.col("parts")).cast("int")
+    placed = placed.withColumns({"own_block": block, "own_part": part})
+    as_row = F.expr("if(index, transform(sequence(0, parts - 1), p -> struct(own_block as block, p as part)), array())")
+    as_query = F.expr("if(query, transform(sequence(0, blocks - 1), b -> struct(b as block, own_part as part)), array())")
+    placed = placed.withColumn("cell", F.explode(F.array_union(as_row, as_query))).withColumns({
+        "block": F.col("cell.block") * F.col("parts") + F.col("cell.part"),
+        "index": F.col("index") & (F.col("cell.block") == F.col("own_block")), "query": F.col("query") & (F.col("cell.part") == F.col("own_part")),
+    })
     found = placed.select("t", "bucket", "block", "_id", "e", "index", "query").groupBy("t", "bucket", "block").applyInArrow(_search(k, dims), "_id bigint, near array<bigint>, sims array<double>")
     merged = found.groupBy("_id").agg(F.collect_list("near").alias("near"), F.collect_list("sims").alias("sims"))
     near = merged.select("_id", F.explode(_merge_udf(k)("near", "sims")).alias("s")).select(F.col("_id").alias("a"), F.col("s.near").alias("b"), F.col("s.sim").alias("sim"))

@@ -187,6 +187,38 @@ def test_nearest(spark):
     assert nearest(df.limit(0), "ord", "embedding").count() == 0
 
 
+def _recall(spark, x, **how):
+    ids = np.arange(len(x)) + 1
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "ord long, embedding array<float>")
+    got = [(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, queries=F.col("_id") % 50 == 0, **how).collect()]
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = set()
+    for i in ids[ids % 50 == 0]:
+        sims = np.round(u @ u[i - 1], 6)
+        sims[i - 1] = -9
+        want |= {(int(i), int(ids[j])) for j in np.lexsort((ids, -sims))[:10]}
+    assert len(got) == len(set(got))
+    return len(want & set(got)) / len(want)
+
+
+def test_recall_does_not_fall_with_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (np.repeat(rng.normal(size=(400, 64)), 15, axis=0) + 1.0 * rng.normal(size=(6000, 64))).astype(np.float32)
+    monkeypatch.setattr(neighbours, "LEAST", 90)  # 32 axes, as at 16,000 rows and more
+    assert _recall(spark, x) >= 0.9
+    joined = _recall(spark, x, hashes=2)
+    monkeypatch.setattr(neighbours, "BUCKET", 64, raising=False)  # the size at which two hashes used to be joined
+    assert _recall(spark, x) >= 0.9 > joined
+
+
+def test_blocks_of_rows_and_queries_find_the_same(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(600, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "BLOCK", 150)  # two buckets of 300 rows, each asked by 600
+    got = {(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, tables=2).collect()}
+    assert got == _brute(np.arange(600), x.astype(np.float64), 10)
+
+
 def test_ties_beyond_float_precision_go_to_the_smaller_id(monkeypatch):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=64) * rng.uniform(0.1, 9, size=(40, 1))).astype(np.float32)  # one direction at 40 lengths
