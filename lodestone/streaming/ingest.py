@@ -48,18 +48,28 @@ def latest_states(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v{last['n']}").withColumn("n_lines", F.col("n_lines").cast("long"))
 
 
-def event_windows(spark: SparkSession, d: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, event_type, n, total): events counted in tumbling windows of event time, with a watermark."""
+def event_windows(spark: SparkSession, d: str, width: str = "1 hour") -> DataFrame:
+    """(window_start, event_type, n, total): events counted in tumbling windows of event time, those without a time by themselves.
+
+    Stored files come in any order of event time, so there is no watermark: each micro-batch
+    adds its partial counts to the last version, by batch number, and no event is too late.
+    """
     root = _scratch(spark)
-    events = read_stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    counted = events.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    sums = [F.sum("n").alias("n"), F.sum("total").alias("total")]
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/b{number}")
+    def merge(batch: DataFrame, number: int) -> None:
+        part = batch.select("at", "event_type", F.lit(1).cast("long").alias("n"), F.col("value").cast("double").alias("total"))
+        timed = part.where("at is not null").groupBy(F.window("at", width).alias("w"), "event_type").agg(*sums).select(F.col("w.start").alias("at"), "event_type", "n", "total")
+        fresh = timed.unionByName(part.where("at is null").groupBy("at", "event_type").agg(*sums))
+        if number > 0:
+            fresh = fresh.unionByName(batch.sparkSession.read.parquet(f"{root}/v{number - 1}")).groupBy("at", "event_type").agg(*sums)
+        fresh.write.mode("overwrite").parquet(f"{root}/v{number}")
+        last["n"] = number
 
-    # Update mode gives each window again as it grows; the last state of a window is the largest count.
-    query = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
+    last = {"n": -1}
+    events = read_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    states = spark.read.parquet(f"{root}/b*")
-    return states.groupBy("window_start", "event_type").agg(F.max(F.struct("n", "total")).alias("s")).select("window_start", "event_type", "s.n", "s.total")
+    if last["n"] < 0:
+        return spark.createDataFrame([], "window_start timestamp_ntz, event_type string, n long, total double")
+    return spark.read.parquet(f"{root}/v{last['n']}").select(F.col("at").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,23 @@ def test_alias_loop_ends(spark):
     a = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "name string, target string")
     got = {r["name"]: (r["target"], r["steps"]) for r in graph.follow_aliases(a).collect()}
     assert got["a"] == ("c", 2) and got["b"] == ("c", 1) and got["x"][1] == 6
+
+
+def test_event_windows_over_files_in_mixed_order(spark, tmp_path):
+    import os
+    import time
+
+    from lodestone.streaming.ingest import event_windows
+
+    began, now = datetime.datetime(2026, 1, 1), time.time()
+    (tmp_path / "events.parquet").mkdir()
+    for place, hour in enumerate([90, 5, 70, 20, 99, 0, 60, 10, 40, 30]):
+        rows = [(began + datetime.timedelta(hours=hour, minutes=10 * m), "run", 0.5) for m in range(9)] + [(None, "run", 1.0)]
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "one" / str(place)))
+        part = next((tmp_path / "one" / str(place)).glob("*.parquet"))
+        target = tmp_path / "events.parquet" / f"part-{place}.parquet"
+        part.rename(target)
+        os.utime(target, (now - 1000 + place, now - 1000 + place))
+    got = {r["window_start"]: (r["n"], r["total"]) for r in event_windows(spark, str(tmp_path)).collect()}
+    want = {began + datetime.timedelta(hours=h + i): ((6, 3.0), (3, 1.5))[i] for h in (90, 5, 70, 20, 99, 0, 60, 10, 40, 30) for i in (0, 1)}
+    assert got == want | {None: (10, 10.0)}
