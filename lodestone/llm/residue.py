@@ -24,9 +24,10 @@ _INLINE = re.compile(r"``[^`\n]+``|`[^`\n]+`")
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _SENTENCE = re.compile(r"(?<=[.!?;…])[\"')\]]*\s+|\n")
 _QUOTE = re.compile(r"\n[ \t]*>[ \t]?")
+_ODD = re.compile(r"[\d/]|[^\x00-\x7f]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _CODE_LINE = re.compile(
-    r"^\s*(?:import\b.*from|export\b|(?:async\s+)?function\b|const\b|let\b|var\b|class\b|interface\b|type\s+\w+\s*=|return\b|if\s*\(|for\s*\(|while\s*\(|switch\s*\(|case\b|try\b|throw\b|await\b|//|/\*|\*(?:\s|/)|[}\])]+[;,)]*\s*$)|[;{]\s*$|=>|^\s*[\w$.]+\([^)]*\)?[;,]?$"
+    r"^\s*(?:import\b.*from|export\b|(?:async\s+)?function\b|const\b|let\b|var\b|class\b|interface\b|type\s+\w+\s*=|return\b|if\s*\(|for\s*\(|while\s*\(|switch\s*\(|case\b|try\b|throw\b|await\b|//|/\*|[}\])]+[;,)]*\s*$)|[;{]\s*$|=>|^\s*[\w$.]+\([^)]*\)?[;,]?$"
 )
 
 
@@ -47,23 +48,25 @@ def _automaton():
     return found
 
 
-@cache
-def _screen():
-    """The phrases of which every residue text, but one with slots alone, holds at least one."""
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for phrase in [*re.split(r"[|\n]", "|".join(P.STRONG.values())), *P.SCREEN.split()]:
-        if phrase := phrase.strip():
-            found.add_word(phrase, 1)
-    found.make_automaton()
-    return found
-
+def _without_code(text: str) -> str:
+    """The text; of a document that is source code as a whole only the blocks (between empty lines) without a line of code.
 
-def _is_code(text: str) -> bool:
-    """A document that is source code as a whole: most of its lines read as code."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    return len(lines) > 2 and sum(1 for x in lines if _CODE_LINE.search(x)) >= 0.6 * len(lines)
+    A line is code by its form, or inside a comment between /* and */; a bullet is not.
+    """
+    blocks, count, code, inside = [[False]], 0, 0, False
+    for line in text.split("\n"):
+        if not line.strip():
+            blocks.append([inside])
+            continue
+        opens = inside or line.lstrip().startswith("/*")
+        reads = opens or _CODE_LINE.search(line) is not None
+        inside = opens and line.rfind("*/") <= line.rfind("/*")
+        blocks[-1][0] |= reads
+        blocks[-1].append(line)
+        count, code = count + 1, code + reads
+    if count <= 2 or code < 0.6 * count:
+        return text
+    return "\n\n".join("\n".join(lines) for reads, *lines in blocks if not reads)
 
 
 def _letters(text: str) -> int:
@@ -73,13 +76,8 @@ def _letters(text: str) -> int:
 def _sentence_kind(sentence: str) -> str | None:
     """The kind of residue that covers most of a sentence, or None."""
     plain = _TAG.sub(" ", sentence).lower()
-    if next(_screen().iter(plain), None) is None:
-        return None
     # Numbers, ids and paths say nothing about the kind of text.
-    plain = " ".join(w for w in plain.split() if '"' in w or not (any(c.isdigit() for c in w) and not w.isdigit()) and "/" not in w)
-    total = _letters(plain)
-    if total == 0:
-        return None
+    plain = " ".join(plain.split() if not _ODD.search(plain) else (w for w in plain.split() if '"' in w or not (any(c.isdigit() for c in w) and not w.isdigit()) and "/" not in w))
     spans, kinds, filler = [], set(), 0
     for end, (length, kind) in _automaton().iter(plain):
         start = end + 1 - length
@@ -92,12 +90,12 @@ def _sentence_kind(sentence: str) -> str | None:
             kinds.add(kind)
     if not kinds and filler < FILLER_WORDS:
         return None
-    covered, upto = 0, 0
+    total, covered, upto = _letters(plain), 0, 0
     for start, end in sorted(spans):
         if end > upto:
             covered += _letters(plain[max(start, upto) : end])
             upto = end
-    if covered < COVERAGE * total:
+    if total == 0 or covered < COVERAGE * total:
         return None
     return min(kinds) if kinds else "filler"
 
@@ -106,18 +104,14 @@ def residue_of(text: str | None) -> tuple[str, float] | None:
     """(kind, share of the text's sentences that are residue), or None for real content."""
     if text is None or not text.strip():
         return None
-    hits = next(_screen().iter(text.lower()), None) is not None
     slots = any(sign in text for sign in _SLOT_SIGNS) and (_SLOT.search(text) or _SLOT_I.search(text))
-    if not hits and not slots:
-        return None
     prose = _INLINE.sub(" ` ", _FENCE.sub("\n", text)) if "`" in text or "~~~" in text else text
-    if _is_code(prose):
-        return None
+    prose = _without_code(prose)
     kind = None
     if slots and (_SLOT.search(prose) or _SLOT_I.search(prose)):
         kind = "slot"
     sentences = [s for s in _SENTENCE.split(_QUOTE.sub("\n", prose)) if s.strip()]
-    covered = [k for s in sentences if (k := _sentence_kind(s))] if hits else []
+    covered = [k for s in sentences if (k := _sentence_kind(s))]
     kind = kind or (covered[0] if covered else None)
     if kind is None:
         return None
@@ -127,9 +121,8 @@ def residue_of(text: str | None) -> tuple[str, float] | None:
 def detect_residue(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` whose text is residue in whole or in part: (id_col, kind, share).
 
-    One pass without a shuffle. An automaton over all phrases screens each whole text;
-    only texts with a phrase or a slot are looked at again, sentence by sentence,
-    without code (fenced, in backticks, or the whole text). `kind` is slot, error,
+    One pass without a shuffle. An automaton over all phrases reads each text sentence by
+    sentence, without code (fenced, in backticks, or the blocks of a text that is code as a whole). `kind` is slot, error,
     login, wait, script, empty or filler; `share` the residue's share of the sentences.
 
     Null, empty and blank texts are no residue. Repeated rows come out as often as they

@@ -72,9 +72,6 @@ LATIN = """
 
 MASH = "asdf asdfgh qwer qwerty sdfg zxcv foo bar baz blah test xxx xxxx yyyy hjkl jkl abc aaaa"
 
-# Of LATIN and MASH the words that do not occur inside common words: a filler sentence of any length has one.
-SCREEN = "lorem ipsum dolor consectetur cillum fugiat veniam mollit laborum vivamus turpis lectus sapien officia aliqua commodo culpa tempor risus felis massa orci nulla asdf qwer sdfg zxcv blah xxxx yyyy hjkl"
-
 # Slots of templates that nobody filled, and values that were rendered badly.
 SLOTS = (
     r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|<<[A-Za-z][\w .-]{0,40}>>|\[\[[A-Za-z][\w .-]{0,40}\]\]"

@@ -462,6 +462,21 @@ def test_residue(text, kind):
     assert (found and found[0]) == kind
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("* Add the reader\n* Drop the writer\n* Lorem ipsum dolor sit amet, consectetur adipiscing elit\n* Rename a field", "filler"),
+        ("foo bar baz test foo bar", "filler"),
+        ("The page  was  not  found.", "error"),
+        ("const a = 1;\nconst b = 2;\nexport function f() {\n  return a + b;\n}\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit.", "filler"),
+        ("/*\n * Lorem ipsum dolor sit amet, consectetur\n * please wait\n */\nconst a = 1;\nexport default a;", None),
+        ("* Add the reader\n* Drop the writer\n* Rename a field", None),
+    ],
+)
+def test_residue_among_bullets_and_code(text, kind):
+    assert (r := residue_of(text)) is None and kind is None or r is not None and r[0] == kind
+
+
 def test_detect_residue(spark):
     rows = [(1, "Coming soon."), (1, "Coming soon."), (2, None), (3, ""), (4, "Ships sail. " * 40_000 + "Access denied."), (None, "Loading...")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1))
