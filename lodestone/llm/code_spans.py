@@ -153,6 +153,9 @@ def _goes_on(body: str) -> bool:
     return _GOES_ON.search(body) is not None
 
 
+_DECLARES = re.compile(r"(?:export|import|declare|const|let|var|function|class|interface|type|enum|namespace|abstract)\b|@")
+
+
 def _has_function_value(lines: list[str], number: int, at: int) -> bool:
     """Whether the constant's value (after its type, over some lines) is a function, not a call of one."""
     rest = lines[number][at:]
@@ -162,7 +165,7 @@ def _has_function_value(lines: list[str], number: int, at: int) -> bool:
         while True:
             if k >= len(rest):
                 line += 1
-                if line >= len(lines) or line > number + 40:
+                if line >= len(lines) or (depth <= 0 and _DECLARES.match(lines[line].strip())):
                     return False
                 rest, k = lines[line], 0
                 continue
@@ -180,7 +183,7 @@ def _has_function_value(lines: list[str], number: int, at: int) -> bool:
     value = rest[1:].strip()
     while not value:
         line += 1
-        if line >= len(lines) or line > number + 40:
+        if line >= len(lines):
             return False
         value = lines[line].strip()
     m = _VALUE.match(value)
@@ -188,21 +191,43 @@ def _has_function_value(lines: list[str], number: int, at: int) -> bool:
         return False
     if "function" in m.group() or m.group().endswith("=>"):
         return True
-    # Parentheses: parameters are followed by => (perhaps after a type); anything else is an expression.
-    text = "\n".join([value, *lines[line + 1 : line + 60]])
-    k = text.index("(") if "(" in text else -1
-    if k < 0:
-        return False
-    depth = 0
-    for j in range(k, len(text)):
-        if text[j] == "(":
-            depth += 1
-        elif text[j] == ")":
-            depth -= 1
-            if depth == 0:
-                after = text[j + 1 : j + 400].lstrip()
-                return after.startswith("=>") or (after.startswith(":") and "=>" in after.split(";")[0])
-    return False
+    return _is_arrow(lines, line, value)
+
+
+def _is_arrow(lines: list[str], line: int, text: str) -> bool:
+    """Whether parentheses from `text` on are parameters: => follows (perhaps after a type); anything else is an expression."""
+    depth, begun, closed, typed = 0, False, False, False
+    while True:
+        for j, c in enumerate(text):
+            if not begun:  # type parameters
+                if c == "(" and depth == 0:
+                    begun, depth = True, 1
+                elif c == ";" and depth == 0:
+                    return False
+                else:
+                    depth += (c in "{[") - (c in "}]")
+            elif not closed:
+                depth += (c == "(") - (c == ")")
+                closed = depth == 0
+            elif not typed:
+                if c == ":":
+                    typed = True
+                elif not c.isspace():
+                    return text.startswith("=>", j)
+            elif depth == 0 and text.startswith("=>", j):
+                return True
+            elif c in "({[":
+                depth += 1
+            elif c in ")}]":
+                depth -= 1
+                if depth < 0:
+                    return False
+            elif c == ";" and depth == 0:
+                return False
+        line += 1
+        if line >= len(lines):
+            return False
+        text = lines[line]
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, int, int]]]:

@@ -462,6 +462,21 @@ def test_residue(text, kind):
     assert (found and found[0]) == kind
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("export const f = (x: number): { a: string; b: number } => {\n  return g(x);\n};", True),
+        ("const f = (\n" + "  x: number,\n" * 90 + ") => x;", True),
+        ("const f: {\n" + "  (x: number): void;\n" * 90 + "} = (x) => x;", True),
+        ("const f = (x: number): {\n" + "  a: string;\n" * 90 + "} => g(x);", True),
+        ("const f = (a + b);\nconst g = 1;\nlist.map((x) => x);", False),
+        ("declare const f: Foo\nconst g = 1\nlet h = (x) => x", False),
+    ],
+)
+def test_constants_with_long_types_and_parameters(text, found):
+    assert ("f" in [n for n, _, _ in spans_of(text)[1]]) == found
+
+
 @pytest.mark.parametrize(
     "text, kind",
     [
