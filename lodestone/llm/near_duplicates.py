@@ -14,10 +14,11 @@ from lodestone.llm.golay import near_codes
 from lodestone.tables import ensure_checkpoint_dir
 
 #: Segments of a fingerprint, words on either side of a segment's anchor, bits of each of those words.
-SEGMENTS, REACH, WORD_BITS = 12, 5, 2
-#: Words of an anchor: more than stock phrases have in a row. Texts of fewer than SHORT words get anchors of
-#: single runs as well; of two similar texts either both have one kind or both have the other.
-ANCHOR, SHORT = 6, 24
+SEGMENTS, REACH, WORD_BITS = 10, 5, 2
+#: Words of an anchor. Few words survive an edit more often than many; the code then tells apart the texts that
+#: only share the phrase. Texts of fewer than SHORT words get anchors of single runs as well; of two similar texts
+#: either both have one kind or both have the other.
+ANCHOR, SHORT = 4, 24
 #: Rows of an anchor above which it is a stock phrase or a large group: its pairs are screened by bitmaps of their runs before they are written,
 #: and its texts are spread over blocks of HOT_BLOCK, each meeting each. Both ways find the same pairs.
 HOT, HOT_BLOCK = 64, 8_192
@@ -163,8 +164,9 @@ def _shingle_udf(size: int):
 
 
 def _classes(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, _class, _same): rows of one class have equal texts; `_same` is a second hash that confirms it where copies are paired."""
     text = F.col(text_col)
-    return items.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_class")).where(text.isNotNull())
+    return items.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_class"), F.xxhash64(F.lit(SEGMENTS), text).alias("_same")).where(text.isNotNull())
 
 
 def _sizes_allow(threshold: float) -> Column:
@@ -178,28 +180,36 @@ def _bitmaps_allow(threshold: float) -> Column:
     return differ * (1 + threshold) <= (F.col("n_a") + F.col("n_b")) * (1 - threshold) + 1e-6
 
 
+def _in_blocks(rows: DataFrame, of: str, count: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two sides of `rows` for a self-join by a hot key, with (i, j) to join by besides: its rows are spread over blocks by `of`, and every block meets every other and itself once.
+
+    A row of block o stands at (o, o..blocks-1) on one side and at (0..o, o) on the other, so that no task holds a whole key.
+    """
+    spread = rows.withColumn("_blocks", F.ceil(F.col(count) / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64(of), F.col("_blocks")).cast("int"))
+    one = spread.select("*", F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("j"))
+    two = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"))
+    return one, two
+
+
 def _met_when_hot(hot: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that meet in a key (x, code) of a hot anchor: every block of its classes with every other and with itself."""
-    spread = hot.withColumn("blocks", F.ceil(F.col("_count") / HOT_BLOCK).cast("int"))
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
-    keys = spread.select("x", "blocks", "own", "_class", "n", "bitmap", F.explode("codes").alias("code"))
-    a = keys.select("x", "code", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a"))
-    b = keys.select("x", "code", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b"))
+    """Pairs (a, b) that meet in a key (x, code) of a hot anchor, block by block."""
+    one, two = _in_blocks(hot.select("x", "_count", "_class", "n", "bitmap", F.explode("codes").alias("code")), "_class", "_count", HOT_BLOCK)
+    a = one.select("x", "code", "i", "j", F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a"))
+    b = two.select("x", "code", "i", "j", F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b"))
     met = a.join(b, ["x", "code", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & _sizes_allow(threshold) & _bitmaps_allow(threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _of_several(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that rows of different classes have, and of how many rows; partial aggregation keeps a hot key small."""
-    short = F.hash("_class")
-    return rows.groupBy(*keys).agg(F.min(short).alias("_low"), F.max(short).alias("_high"), F.count("*").cast("int").alias("_count")).where("_low < _high").select(*keys, "_count")
+    return rows.groupBy(*keys).agg(F.min("_class").alias("_low"), F.max("_class").alias("_high"), F.count("*").cast("int").alias("_count")).where("_low < _high").select(*keys, "_count")
 
 
 def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links between classes of equal texts: a, b, similarity; members: _class, _id)."""
+    """(links between classes of equal texts: a, b, similarity; members: _class, _same, _id)."""
     ensure_checkpoint_dir(rows.sparkSession)
-    prints = rows.select("_class", "_id", _fingerprint_udf(size)("_text").alias("f")).where("f.n > 0")
-    prints = prints.select("_class", "_id", "f.n", "f.anchors", "f.segments", "f.bitmap").checkpoint()
+    prints = rows.select("_class", "_same", "_id", _fingerprint_udf(size)("_text").alias("f")).where("f.n > 0")
+    prints = prints.select("_class", "_same", "_id", "f.n", "f.anchors", "f.segments", "f.bitmap").checkpoint()
     # One row for each segment; equal anchors of different segments are kept apart by the mixing.
     parts = prints.select("_class", "n", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", F.col("s.anchors").alias("x"), "s.segments")
     shared = _of_several(parts, ["x"])
@@ -207,8 +217,11 @@ def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataF
     keys = kept.where(F.col("_count") <= HOT).select("x", "_class", "n", F.explode(_near_codes_udf()("segments")).alias("code"))
     a = keys.select("x", "code", F.col("_class").alias("a"), F.col("n").alias("n_a"))
     b = keys.select("x", "code", F.col("_class").alias("b"), F.col("n").alias("n_b"))
-    cold = a.join(b, ["x", "code"]).where((F.col("a") < F.col("b")) & _sizes_allow(threshold)).select("a", "b")
-    # Bitmaps go with the hot anchors alone.
+    cold = a.join(b, ["x", "code"]).where((F.col("a") < F.col("b")) & _sizes_allow(threshold)).select("a", "b").distinct()
+    # Bitmaps go to the few pairs of anchors that are not hot, and with the anchors that are.
+    marks = prints.select("_class", "n", "bitmap").dropDuplicates(["_class"])
+    cold = cold.join(marks.select(F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a")), "a")
+    cold = cold.join(marks.select(F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b")), "b").where(_bitmaps_allow(threshold)).select("a", "b")
     stock = shared.where(F.col("_count") > HOT)
     marked = prints.select("_class", "n", "bitmap", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", "bitmap", F.col("s.anchors").alias("x"), "s.segments")
     hot = marked.join(stock, "x").dropDuplicates(["x", "_class"]).select("x", "_count", "_class", "n", "bitmap", _near_codes_udf()("segments").alias("codes")).checkpoint()
@@ -219,7 +232,7 @@ def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataF
     both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("_class").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     links = both.select("a", "b", common.alias("c"), (F.size("s_a") + F.size("s_b")).alias("t")).select("a", "b", (F.col("c") / (F.col("t") - F.col("c"))).alias("similarity"))
-    return links.where(F.col("similarity") >= threshold), prints.select("_class", "_id")
+    return links.where(F.col("similarity") >= threshold), prints.select("_class", "_same", "_id")
 
 
 def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -232,7 +245,9 @@ def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, size: int
     damaged: some segment keeps its anchor and stays within 2 bits. The two texts meet in
     its key, and the exact similarity decides. The many texts of a hot anchor all meet too,
     block by block; bitmaps only drop pairs that cannot reach the threshold. Equal texts are
-    one class all the way and only come apart in the result, which therefore has every pair of copies.
+    one class all the way and only come apart in the result, which therefore has every pair
+    of copies (block by block as well); `near_duplicate_links` and `near_duplicate_groups`
+    do not grow with the square of the copies.
 
     Texts with fewer than `size` words (null and empty ones too) have no runs and are in no
     pair. Rows with the same id are compared by their texts, never paired with themselves.
@@ -242,8 +257,11 @@ def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, size: int
     links, members = similar_classes(rows, size, threshold)
     one, two = members.select(F.col("_class").alias("a"), F.col("_id").alias("x")), members.select(F.col("_class").alias("b"), F.col("_id").alias("y"))
     across = links.join(one, "a").join(two, "b").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
-    same = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(same).distinct()
+    copies = members.join(members.groupBy("_class", "_same").agg(F.count("*").cast("int").alias("_count")).where("_count > 1"), ["_class", "_same"])
+    left, right = _in_blocks(copies, "_id", "_count", HOT_BLOCK)
+    met = left.withColumnRenamed("_id", "x").join(right.select("_class", "_same", "i", "j", F.col("_id").alias("y")), ["_class", "_same", "i", "j"])
+    met = met.where("x <> y and (i < j or x < y)")
+    return across.unionByName(met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.lit(1.0).alias("similarity"))).distinct()
 
 
 def near_duplicate_links(items: DataFrame, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
