@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,14 +13,16 @@ from pyspark.sql import functions as F
 
 from lodestone.tables import ensure_checkpoint_dir
 
-#: Tables, axes of the rotated space that are hashed, and probes for each hash.
-TABLES, AXES, PROBES = 12, 32, 2
-#: Rows of a bucket above which it is split into blocks; queries are split as well, and every block of queries meets every block of rows.
-BLOCK = 24_576
-#: Rows a bucket should hold on average at least: fewer axes are hashed below it.
+#: Coarse hashing, which says where rows are sent: tables, axes of the rotated space, probes of a query. Two for each axis, so 16 buckets a table.
+TABLES, AXES, PROBES = 8, 8, 2
+#: Fine hashing, which says what rows of a bucket are compared: tables of rotations of its own for every bucket's table, all axes, probes of a query.
+FINE, FINE_PROBES = 4, 5
+#: A bucket of so few rows is compared whole.
 LEAST = 256
-#: Queries multiplied with a block at once, and candidates compared exactly at once (a single query may have more).
-ROWS, PAIRS = 512, 200_000
+#: Rows of a bucket above which it is split into blocks; queries are split as well, and every block of queries meets every block of rows.
+BLOCK = 65_536
+#: Similarities computed at once, and candidates compared exactly at once (a single query may have more).
+CELLS, PAIRS = 4_000_000, 200_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -36,39 +37,38 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def rotations(dims: int, tables: int, hashes: int, axes: int) -> np.ndarray:
-    """The pseudo-rotations of all hashes side by side: three rounds of random signs and a Hadamard transform.
+def rotations(dims: int, first: int, count: int, axes: int) -> np.ndarray:
+    """Pseudo-rotations number `first` and on, side by side: three rounds of random signs and a Hadamard transform.
 
     The transform is applied to the unit vectors once; a batch is then rotated by one product.
     """
     size = 1 << max(0, dims - 1).bit_length()
     out = []
-    for seed in range(tables * hashes):
+    for seed in range(first, first + count):
         signs = np.random.default_rng(seed).choice([-1.0, 1.0], (3, size))
         x = np.eye(dims, size)
         for s in signs:
             x = hadamard(x * s)
         out.append(x[:, : min(axes, size)])
-    return np.hstack(out)
+    return np.hstack(out).astype(np.float32)
 
 
-def buckets(unit: np.ndarray, tables: int, hashes: int, axes: int, probes: int) -> np.ndarray:
-    """Bucket numbers of each row: tables x probes**hashes, the row's own bucket of a table first.
+def buckets(unit: np.ndarray, first: int, tables: int, axes: int, probes: int) -> np.ndarray:
+    """Bucket numbers of each row (rows x tables x probes), the row's own bucket of a table first.
 
-    A hash is the nearest signed axis of the rotated vector; its probes are the next nearest.
+    A hash is the nearest signed axis of the rotated vector; its probes are the next nearest, by
+    score: with few axes the opposite side of an axis can be among them.
     """
     n, dims = unit.shape
     axes = min(axes, 1 << max(0, dims - 1).bit_length())
-    turned = (unit @ rotations(dims, tables, hashes, axes)).reshape(n, tables * hashes, axes)
-    signed = np.concatenate([turned, -turned], axis=2)
-    order = np.argsort(-signed, axis=2, kind="stable")[:, :, :probes].reshape(n, tables, hashes, probes)
-    found = np.empty((n, tables, probes**hashes), dtype=np.int64)
-    for p, choice in enumerate(product(range(probes), repeat=hashes)):
-        number = np.zeros((n, tables), dtype=np.int64)
-        for h, c in enumerate(choice):
-            number = number * (2 * axes) + order[:, :, h, c]
-        found[:, :, p] = number
-    return found
+    turned = (unit.astype(np.float32) @ rotations(dims, first, tables, axes)).reshape(n, tables, axes)
+    if probes > axes:
+        return np.argsort(-np.concatenate([turned, -turned], axis=2), axis=2, kind="stable")[:, :, :probes]
+    # Of each axis one side has a positive score: with no more probes than axes the others are never among them.
+    score = -np.abs(turned)
+    best = score.argmin(axis=2)[:, :, None] if probes == 1 else np.argpartition(score, probes - 1, axis=2)[:, :, :probes]
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(score, best, 2), axis=2, kind="stable"), 2)
+    return best + axes * (np.take_along_axis(turned, best, 2) < 0)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -76,77 +76,108 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def nearest_in_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int):
-    """(query id, neighbour ids, similarities) of the k most similar rows of a block, by exact double cosine."""
+def nearest_in_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int, table: int = 0, fine: int = 0, probes: int = FINE_PROBES):
+    """(query ids, neighbour ids, similarities), one entry for each of the k most similar candidates of each query in a block, by exact double cosine.
+
+    Candidates are the rows in the cells that a query probes in `fine` tables of its own; with
+    none of those, or in a block of LEAST rows, every row is one.
+    """
     x = x[(order := np.argsort(x_id, kind="stable"))]
     x_id = x_id[order]
-    x32, keep = x.astype(np.float32), min(k + 1, len(x))  # the query itself may be among them
+    dims, keep = x.shape[1], min(k + 1, len(x))  # the query itself may be among them
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
     # What float32 and the rounding to 6 decimals can hide: no row within it of the keep-th best is left out.
-    close = np.float32(2e-6 + 2 * x.shape[1] * np.finfo(np.float32).eps)
-    # A lower bound of the keep-th best from the best of each group of columns spares a full selection.
-    width = max(1, len(x) // max(128, 4 * keep))
-    whole = len(x) // width * width
-    for at in range(0, len(q), ROWS):
-        part, part_id = q[at : at + ROWS], q_id[at : at + ROWS]
-        sims = part.astype(np.float32) @ x32.T
-        best = sims[:, :whole].reshape(len(part), -1, width).max(axis=2)
-        bound = np.partition(best, -keep, axis=1)[:, -keep] if best.shape[1] > keep else best.min(axis=1)
-        likely = sims >= (bound - close)[:, None]
-        upto = np.cumsum(likely.sum(axis=1))
-        a = 0
-        while a < len(part):
-            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
-            yield from _exact(part_id[a:b], part[a:b], x_id, x, sims[a:b], likely[a:b], k, keep, close)
-            a = b
-
-
-def _exact(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, sims: np.ndarray, likely: np.ndarray, k: int, keep: int, close: np.float32):
-    """The k best of the likely rows of each query; x_id ascends."""
-    row, col = np.nonzero(likely)
-    value = sims[row, col]
-    order = np.lexsort((-value, row))
-    row, col, value = row[order], col[order], value[order]
-    first = np.searchsorted(row, np.arange(len(q) + 1))
-    last = value[np.minimum(first[:-1] + keep, first[1:]) - 1]
-    near = value >= (last - close)[row]
-    row, col = row[near], col[near]
-    exact = np.round(np.einsum("ij,ij->i", q[row], x[col]), 6)
+    close = np.float32(2e-6 + 2 * dims * np.finfo(np.float32).eps)
+    bound = np.full(len(q), -np.inf, dtype=np.float32)
+    whole, kept = fine == 0 or len(x) <= LEAST, []
+    for f in range(1 if whole else fine):
+        if whole:
+            row_cell, cell, asker = np.zeros(len(x), dtype=np.int64), np.zeros(len(q), dtype=np.int64), np.arange(len(q))
+        else:
+            number = TABLES + table * fine + f
+            row_cell, cell = buckets(x32, number, 1, dims, 1)[:, 0, 0], buckets(q32, number, 1, dims, probes)[:, 0].ravel()
+            asker = np.repeat(np.arange(len(q)), len(cell) // len(q))
+        by_row, by_cell = np.argsort(row_cell, kind="stable"), np.argsort(cell, kind="stable")
+        cells = np.arange(row_cell.max() + 2)
+        row_at, ask_at = np.searchsorted(row_cell[by_row], cells), np.searchsorted(cell[by_cell], cells)
+        found = []
+        for c in np.flatnonzero((np.diff(row_at) > 0) & (np.diff(ask_at) > 0)):
+            rows, asked = by_row[row_at[c] : row_at[c + 1]], asker[by_cell[ask_at[c] : ask_at[c + 1]]]
+            step = max(1, CELLS // len(rows))
+            found += [_likely(q32, x32, asked[at : at + step], rows, bound, keep, close) for at in range(0, len(asked), step)]
+        if found:
+            kept.append(_near_best(*map(np.concatenate, zip(*found)), bound, keep, close))
+    if not kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    row, col, sim = map(np.concatenate, zip(*kept))
+    good = sim >= bound[row]
+    # A row can be found in several tables.
+    pair = np.unique(row[good] * np.int64(len(x)) + col[good])
+    row, col = pair // len(x), pair % len(x)
+    parts = [np.round(np.einsum("ij,ij->i", q[row[a : a + PAIRS]], x[col[a : a + PAIRS]]), 6) for a in range(0, len(row), PAIRS)]
+    exact = np.concatenate([*parts, np.empty(0)])
     other = x_id[col] != q_id[row]
     row, col, exact = row[other], col[other], exact[other]
-    order = np.lexsort((x_id[col], -exact, row))
+    order = np.argsort(4.0 * row - exact, kind="stable")  # by row, similarity, and col as before; x_id ascends with col
     row, col, exact = row[order], col[order], exact[order]
-    first = np.searchsorted(row, np.arange(len(q) + 1))
-    for r in range(len(q)):
-        a, b = first[r], min(first[r + 1], first[r] + k)
-        if b > a:
-            yield q_id[r], x_id[col[a:b]], exact[a:b]
-
-
-def _search(k: int, dims: int):
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return q_id[row[best]], x_id[col[best]], exact[best]
+
+
+def _likely(q: np.ndarray, x: np.ndarray, asked: np.ndarray, rows: np.ndarray, bound: np.ndarray, keep: int, close: np.float32) -> np.ndarray:
+    """(query, row, similarity) of a cell that can be among the `keep` best of the query; `bound` is below those known so far, and is raised."""
+    sims = q[asked] @ x[rows].T
+    least = bound[asked]
+    if len(rows) >= keep:
+        # In wide cells the best of each group of columns give a bound that spares a full selection.
+        width = max(1, len(rows) // max(128, 4 * keep))
+        groups = sims if width == 1 else sims[:, : len(rows) // width * width].reshape(len(asked), -1, width).max(axis=2)
+        least = np.maximum(least, np.partition(groups, -keep, axis=1)[:, -keep] - close)
+        bound[asked] = least  # a query asks a cell once
+    i, j = np.nonzero(sims >= least[:, None])
+    return asked[i], rows[j], sims[i, j]
+
+
+def _near_best(row: np.ndarray, col: np.ndarray, sim: np.ndarray, bound: np.ndarray, keep: int, close: np.float32):
+    """The found of one table (no pair twice) that are not too far below the keep-th best of their query; raises the bounds."""
+    good = sim >= bound[row]
+    row, col, sim = row[good], col[good], sim[good]
+    order = np.argsort(4.0 * row - sim)  # by row, then by similarity (within 1)
+    row, col, sim = row[order], col[order], sim[order]
+    first = np.searchsorted(row, np.arange(len(bound) + 1))
+    full = np.flatnonzero(np.diff(first) >= keep)
+    bound[full] = np.maximum(bound[full], sim[first[full] + keep - 1] - close)
+    good = sim >= bound[row]
+    return row[good], col[good], sim[good]
+
+
+#: Similarities travel as whole numbers of this size: they are rounded to 6 decimals anyway.
+_MILLION = 1_000_000
+
+
+def _search(k: int, dims: int, fine: int, fine_probes: int):
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("_id").to_numpy()
         raw = b"".join(group.column("e").to_pylist())
         unit = _unit(np.frombuffer(raw, dtype=np.float32).reshape(-1, dims))
         index, query = group.column("index").to_numpy(zero_copy_only=False), group.column("query").to_numpy(zero_copy_only=False)
-        if not index.any() or not query.any():
-            return pa.table({"_id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-        found = list(nearest_in_block(ids[query], unit[query], ids[index], unit[index], k))
-        sizes = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
-        flat = lambda i, t: np.concatenate([f[i] for f in found]).astype(t) if found else np.array([], dtype=t)
+        asked, near, sims = nearest_in_block(ids[query], unit[query], ids[index], unit[index], k, group.column("t")[0].as_py(), fine, fine_probes) if index.any() and query.any() else (np.empty(0, np.int64),) * 3
+        first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])) if len(asked) else np.empty(0, np.int64)
+        lists = pa.array(np.append(first, len(asked)).astype(np.int32))
         return pa.table({
-            "_id": pa.array([f[0] for f in found], pa.int64()),
-            "near": pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat(1, np.int64))),
-            "sims": pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat(2, np.float64))),
+            "_id": pa.array(asked[first], pa.int64()),
+            "near": pa.ListArray.from_arrays(lists, pa.array(near, pa.int64())),
+            "sims": pa.ListArray.from_arrays(lists, pa.array(np.rint(sims * _MILLION).astype(np.int32))),
         })
 
     return search
 
 
-def _bucket_udf(tables: int, hashes: int, axes: int, probes: int):
-    @F.pandas_udf("struct<e:binary,buckets:array<bigint>>")
+def _bucket_udf(tables: int, axes: int, probes: int):
+    @F.pandas_udf("struct<e:binary,buckets:array<int>>")
     def assign(vectors: pd.Series) -> pd.DataFrame:
         raw = np.vstack(vectors.to_numpy()).astype(np.float32)
-        found = buckets(_unit(raw), tables, hashes, axes, probes).reshape(len(raw), -1)
+        found = buckets(_unit(raw), 0, tables, axes, probes).reshape(len(raw), -1).astype(np.int32)
         return pd.DataFrame({"e": [r.tobytes() for r in raw], "buckets": list(found)})
 
     return assign
@@ -159,7 +190,7 @@ def _merge_udf(k: int):
             ids, values = np.concatenate(list(ids)), np.concatenate(list(values))
             ids, at = np.unique(ids, return_index=True)
             order = np.lexsort((ids, -values[at]))[:k]
-            return [{"near": int(i), "sim": float(v)} for i, v in zip(ids[order], values[at][order])]
+            return [{"near": int(i), "sim": float(v) / _MILLION} for i, v in zip(ids[order], values[at][order])]
 
         return pd.Series([one(i, v) for i, v in zip(near, sims)])
 
@@ -174,45 +205,42 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataF
 
 
 def nearest(
-    vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, dims: int = 64,
-    tables: int = TABLES, axes: int = AXES, probes: int = PROBES, hashes: int = 1, queries: Column | None = None,
+    vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, dims: int = 64, tables: int = TABLES, axes: int = AXES, probes: int = PROBES,
+    fine: int = FINE, fine_probes: int = FINE_PROBES, queries: Column | None = None,
 ) -> DataFrame:
     """For every usable vector its k most similar others: (id, neighbour, similarity, rank).
 
     Similarity is the cosine in double precision, rounded to 6 decimals; ties go to the
-    smaller id. Each table hashes a vector to the nearest signed axis after a Hadamard
-    pseudo-rotation; a query looks into the buckets of its `probes` nearest axes in every
-    table, and all rows of those buckets are compared exactly, block by block. A neighbour is
-    missed only if it shares no bucket; the tests measure the recall against brute force.
-    More `hashes` joined into a bucket make fewer comparisons and lose recall; that is never
-    done by itself, however many rows there are.
+    smaller id. A hash is the nearest signed axis after a Hadamard pseudo-rotation. Rows are
+    hashed twice: `tables` coarse hashes of few axes say to which buckets a vector is sent (its
+    own, and those of the `probes` nearest axes as a query), so that few copies travel; inside
+    a bucket `fine` hashes of all axes, other rotations for each coarse table, say which rows a
+    query is compared with: those in the cells of its `fine_probes` nearest axes. All candidates
+    are compared exactly. The parameters are the same for any number of rows; more tables or
+    probes find more and compare more. A neighbour is missed only if it shares no cell.
 
     Unusable vectors (null, other length, all zero, not finite) are left out. Of rows with
-    one id the least vector counts. Equal vectors are one class during the search, so that
-    copies, however many, cost no comparison; in the result they stand one by one. Buckets
-    above BLOCK rows or queries are split. `queries` (a condition on `_id`) limits the queries, never
-    the rows they are compared with. An empty table gives an empty result.
+    one id the least vector counts. Equal vectors (by 128 bits of hash) are one class during
+    the search, so that copies, however many, cost no comparison; in the result they stand one
+    by one. Buckets above BLOCK rows or queries are split. `queries` (a condition on `_id`)
+    limits the queries, never the rows they are compared with. An empty table gives an empty result.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col, dims)
-    hashed = rows.withColumn("_class", F.xxhash64("v"))
+    hashed = rows.withColumn("_class", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(k), "v")))
     smallest = hashed.withColumn("n", F.row_number().over(Window.partitionBy("_class").orderBy("_id"))).where(F.col("n") <= k + 1).checkpoint()
     reps = smallest.where("n = 1").select("_id", "v")
-    n = reps.count()
-    # In few rows the k best are hardly nearer than the rest: wide buckets keep the recall.
-    axes = max(1, min(axes, n // (2 * LEAST)))
-    # More hashes make a bucket narrower for near vectors too; more tables make up for it.
-    tables = tables * 2 ** (hashes - 1)
-    per = probes**hashes
-    spread = reps.select("_id", _bucket_udf(tables, hashes, axes, probes)("v").alias("b")).select("_id", "b.e", F.posexplode("b.buckets").alias("p", "bucket"))
-    spread = spread.select("_id", "e", F.floor(F.col("p") / per).cast("int").alias("t"), (F.col("p") % per == 0).alias("index"), "bucket")
+    assigned = reps.select("_id", _bucket_udf(tables, axes, probes)("v").alias("b"))
     asks = queries if queries is not None else F.lit(True)
-    spread = spread.withColumn("query", asks).where("index or query")
-    sizes = reps.select("_id", _bucket_udf(tables, hashes, axes, probes)("v").alias("b")).select("_id", F.posexplode("b.buckets").alias("p", "bucket"))
-    counts = sizes.groupBy(F.floor(F.col("p") / per).cast("int").alias("t"), "bucket").agg(F.sum((F.col("p") % per == 0).cast("long")).alias("rows"), F.sum(asks.cast("long")).alias("asked"))
+    # The own bucket of a table comes first.
+    placing = [F.floor(F.col("p") / probes).cast("int").alias("t"), "bucket", (F.col("p") % probes == 0).alias("index"), asks.alias("query")]
+    spread = assigned.select("_id", "b.e", F.posexplode("b.buckets").alias("p", "bucket")).select("_id", "e", *placing).where("index or query")
+    sizes = assigned.select("_id", F.posexplode("b.buckets").alias("p", "bucket")).select("_id", *placing)
+    counts = sizes.groupBy("t", "bucket").agg(F.sum(F.col("index").cast("long")).alias("rows"), F.sum(F.col("query").cast("long")).alias("asked"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    # One row for each bucket that is split: 2 x axes x tables at most.
     split = counts.where((F.col("rows") > BLOCK) | (F.col("asked") > BLOCK)).select("t", "bucket", blocks("rows").alias("blocks"), blocks("asked").alias("parts"))
-    placed = spread.join(split, ["t", "bucket"], "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
+    placed = spread.join(F.broadcast(split), ["t", "bucket"], "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
     # A row stands in its block for every part of the queries, a query in its part for every block.
     block, part = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"), F.pmod(F.hash("_id"), F.col("parts")).cast("int")
     placed = placed.withColumns({"own_block": block, "own_part": part})
@@ -222,7 +250,7 @@ def nearest(
         "block": F.col("cell.block") * F.col("parts") + F.col("cell.part"),
         "index": F.col("index") & (F.col("cell.block") == F.col("own_block")), "query": F.col("query") & (F.col("cell.part") == F.col("own_part")),
     })
-    found = placed.select("t", "bucket", "block", "_id", "e", "index", "query").groupBy("t", "bucket", "block").applyInArrow(_search(k, dims), "_id bigint, near array<bigint>, sims array<double>")
+    found = placed.select("t", "bucket", "block", "_id", "e", "index", "query").groupBy("t", "bucket", "block").applyInArrow(_search(k, dims, fine, fine_probes), "_id bigint, near array<bigint>, sims array<int>")
     merged = found.groupBy("_id").agg(F.collect_list("near").alias("near"), F.collect_list("sims").alias("sims"))
     near = merged.select("_id", F.explode(_merge_udf(k)("near", "sims")).alias("s")).select(F.col("_id").alias("a"), F.col("s.near").alias("b"), F.col("s.sim").alias("sim"))
     # From classes back to rows.

@@ -201,21 +201,36 @@ def _recall(spark, x, **how):
     return len(want & set(got)) / len(want)
 
 
-def test_recall_does_not_fall_with_the_size(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [6000, 15000])
+def test_recall_of_hashed_buckets(spark, rows):
     rng = np.random.default_rng(5)
-    x = (np.repeat(rng.normal(size=(400, 64)), 15, axis=0) + 1.0 * rng.normal(size=(6000, 64))).astype(np.float32)
-    monkeypatch.setattr(neighbours, "LEAST", 90)  # 32 axes, as at 16,000 rows and more
+    x = (np.repeat(rng.normal(size=(rows // 15, 64)), 15, axis=0) + 1.0 * rng.normal(size=(rows, 64))).astype(np.float32)
+    assert rows // (2 * neighbours.AXES) > neighbours.LEAST  # no bucket is compared whole
     assert _recall(spark, x) >= 0.9
-    joined = _recall(spark, x, hashes=2)
-    monkeypatch.setattr(neighbours, "BUCKET", 64, raising=False)  # the size at which two hashes used to be joined
-    assert _recall(spark, x) >= 0.9 > joined
+    assert _recall(spark, x, fine_probes=1) < _recall(spark, x)
+
+
+def test_share_of_pairs_compared():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = buckets(x, 0, neighbours.TABLES, neighbours.AXES, neighbours.PROBES)
+    met = 0
+    for t in range(neighbours.TABLES):
+        for b in range(2 * neighbours.AXES):
+            rows, asked = x[own[:, t, 0] == b], x[(own[:, t] == b).any(axis=1)]
+            for f in range(neighbours.FINE):
+                number = neighbours.TABLES + t * neighbours.FINE + f
+                cells = np.bincount(buckets(rows, number, 1, 64, 1).ravel(), minlength=128)
+                met += cells[buckets(asked, number, 1, 64, neighbours.FINE_PROBES)].sum()
+    assert met / len(x) ** 2 < 0.25  # on vectors without clusters
 
 
 def test_blocks_of_rows_and_queries_find_the_same(spark, monkeypatch):
     x = np.random.default_rng(6).normal(size=(600, 64)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>")
     monkeypatch.setattr(neighbours, "BLOCK", 150)  # two buckets of 300 rows, each asked by 600
-    got = {(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, tables=2).collect()}
+    got = {(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, tables=2, axes=1, fine=0).collect()}
     assert got == _brute(np.arange(600), x.astype(np.float64), 10)
 
 
@@ -224,18 +239,20 @@ def test_ties_beyond_float_precision_go_to_the_smaller_id(monkeypatch):
     x = (rng.normal(size=64) * rng.uniform(0.1, 9, size=(40, 1))).astype(np.float32)  # one direction at 40 lengths
     x = np.vstack([x, rng.normal(size=(200, 64)).astype(np.float32)])
     ids, unit = rng.permutation(len(x)) + 1, x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    for pairs in (neighbours.PAIRS, 100) if hasattr(neighbours, "PAIRS") else (0,):
-        monkeypatch.setattr(neighbours, "PAIRS", pairs, raising=False)
-        got = {(int(i), int(o)) for i, others, _ in neighbours.nearest_in_block(ids, unit, ids, unit, 10) for o in others}
-        assert got == _brute(ids, x.astype(np.float64), 10)
+    for pairs in (neighbours.PAIRS, 100):
+        monkeypatch.setattr(neighbours, "PAIRS", pairs)
+        monkeypatch.setattr(neighbours, "CELLS", 30 * pairs)
+        asked, near, _ = neighbours.nearest_in_block(ids, unit, ids, unit, 10)
+        assert set(zip(asked.tolist(), near.tolist())) == _brute(ids, x.astype(np.float64), 10)
 
 
 def test_rotation_keeps_lengths_and_probes_start_with_the_own_bucket():
     x = np.random.default_rng(0).normal(size=(50, 64))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
-    one, two = buckets(x, 3, 1, 32, 1), buckets(x, 3, 1, 32, 2)
+    one, two = buckets(x, 0, 3, 32, 1), buckets(x, 0, 3, 32, 2)
     assert (one[:, :, 0] == two[:, :, 0]).all() and (two[:, :, 0] != two[:, :, 1]).all() and two.max() < 64
-    assert buckets(x, 3, 2, 32, 2).shape == (50, 3, 4)
+    every = buckets(x, 0, 3, 4, 8)
+    assert (np.sort(every, axis=2) == np.arange(8)).all() and (every[:, :, :1] == buckets(x, 0, 3, 4, 1)).all()
 
 
 # Problem 4
