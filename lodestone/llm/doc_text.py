@@ -20,6 +20,7 @@ EMPTY_WORDS = set("""
 STOCK = re.compile(
     r"^(?:todo|fixme|xxx|hack|tbd|n/?a|none|\.\.\.|-+|description goes here|add (?:a )?(?:description|docs|documentation)(?: here)?|missing (?:docs|documentation|description)|no (?:docs|description|documentation)(?: yet| available)?"
     r"|\(?undocumented\)?|to be (?:documented|written|done|described)|see (?:above|below|code|name|implementation|source)|self[- ]explanatory|for internal use(?: only)?|internal use only|not (?:yet )?documented|work in progress|wip"
+    r"|待补充|待完善|暂无(?:描述|说明|文档)|无(?:描述|说明)|見ての通り|説明(?:なし|待ち|を追加)|未記載|未定|설명 ?(?:없음|필요|추가)"
     r"|descrição pendente|sem descrição|a documentar|adicionar descrição|descripción pendiente|sin descripción|pendiente de documentar|beschreibung fehlt|beschreibung folgt|noch zu dokumentieren|documentation pending|description pending|docs? (?:to follow|pending)|same as (?:above|below)|generated|auto-?generated)\W*$",
     re.I,
 )
@@ -38,8 +39,10 @@ _CODE = re.compile(
     r"^(?:const|let|var)\s+[\w${\[].*=|^return\b.*;\s*$|^(?:if|for|while|switch|catch)\s*\(|^(?:await|throw\s+new|new|yield|delete)\s+[\w$.]+\(|^(?:import|export|case|function|class|async)\b.*[;({:]\s*$"
     r"|=>|^[\w$.]+\s*[-+*|&]?=[^=]|^[\w$.]+\([^)]*\)?;?$|\w\.\w+\([^)]*\)?;?\s*$|^\}|[{}]\s*$|[)\]'\"`];\s*$"
 )
-_SPLIT = re.compile(r"(?<=[.!?;:。！？])\s+")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_SPLIT = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？])\s*")
+# Scripts that are written without spaces: a run of them has a word for about every two characters.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNSPACED}]{{1,2}}|[^\W\d_{_UNSPACED}]+(?:['’][^\W\d_{_UNSPACED}]+)?")
 _HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+|\d+")
 
 
@@ -83,7 +86,10 @@ def prose(comment: str) -> list[str]:
 
 
 def says_something(name: str, comment: str) -> bool:
-    """At least one sentence has two words that neither the name has nor every comment has."""
+    """At least one sentence has two words that neither the name has nor every comment has.
+
+    In scripts without spaces two characters count as a word.
+    """
     known = {_root(w) for w in name_words(name)} | name_words(name)
     for sentence in prose(comment):
         if STOCK.match(sentence):

@@ -36,7 +36,7 @@ VENDORED = re.compile(
 )
 COMPILED = re.compile(r"^//[#@] ?sourceMappingURL=|Object\.defineProperty\(exports, ?[\"']__esModule[\"']|^var __(?:awaiter|extends|assign|importDefault|createBinding|decorate) ?=|__webpack_require__|^\"use strict\";\s*\(self\.webpackChunk", re.M)
 
-_HEAD = re.compile(r"\s*(?:(?P<comment>//[^\n]*|/\*.*?\*/)|#![^\n]*|[\"']use \w+[\"'];?|import\b[^;]{0,2000};)", re.S)
+_HEAD = re.compile(r"\s*(?:(?P<comment>//[^\n]*|/\*.*?\*/)|#![^\n]*|[\"']use \w+[\"'];?|import\b[^;'\"`]*(?:'[^'\n]*'|\"[^\"\n]*\")[ \t]*\)?[ \t]*;?)", re.S)
 #: A line of DENSE characters with few spaces was not written by hand; nor were many shorter ones that make up most of a file.
 DENSE, DENSE_SPACES, DENSE_SHARE = 300, 0.08, 0.5
 

@@ -10,18 +10,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.fm_index import FMIndex
 
 #: Words of a searched phrase. A passage of 20 words with one in eight edited keeps 6 in a row.
 PHRASE = 5
-#: Words of a shard's index, and items searched in one pass over the corpus.
-SHARD_WORDS, ITEMS = 1_000_000, 5_000
+#: Words of a shard's index, and characters of the items that are searched in it at once.
+SHARD_WORDS, ITEM_CHARS = 1_000_000, 4_000_000
 
 _ASCII_WORD, _WORD = re.compile(r"[a-z0-9]+"), re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+# A short tag, whatever is in it; a tag of any length with attributes; the address of a link in Markdown.
+_TAG = re.compile(r"""</?[A-Za-z][^<>\n]{0,80}>|<[A-Za-z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))+\s*/?>""")
+_ADDRESS = re.compile(r"\]\([^()\s]+\)")
 _HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 
 
@@ -31,6 +33,8 @@ def words_of(text: str) -> list[str]:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", text)
+    if "](" in text:
+        text = _ADDRESS.sub("]", text)
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
     text = unicodedata.normalize("NFKD", text.translate(_HIDDEN))
@@ -86,13 +90,8 @@ def _ends(a: list[int], b: list[int], most: int) -> list[tuple[int, int, int]]:
     return [(e, *best[e]) for e in sorted(best)]
 
 
-def passage(item: list[int], doc: list[int], hits: list[tuple[int, int]], least: int, one_in: int) -> tuple[int, int, int, int] | None:
-    """The longest passage of an item in a text: (words, edits, first word, end word), or None.
-
-    `hits` are the places (in the item, in the text) of phrases that both have. Phrases on
-    one diagonal join into runs, runs into chains; a passage is a stretch of a chain with
-    at least `least` words of the item and at most one edit in `one_in` of them.
-    """
+def _runs(hits: list[tuple[int, int]]) -> list[list[int]]:
+    """[first word, end word, first word in the text] of hits joined along their diagonals."""
     runs: list[list[int]] = []
     open_: dict[int, list[int]] = {}
     for i, d in sorted(hits):
@@ -102,10 +101,26 @@ def passage(item: list[int], doc: list[int], hits: list[tuple[int, int]], least:
         else:
             run = open_[i - d] = [i, i + PHRASE, d]
             runs.append(run)
-    runs.sort()
+    return sorted(runs)
+
+
+def passage(item: list[int], doc: list[int], hits: list[tuple[int, int]], least: int, one_in: int) -> tuple[int, int, int, int] | None:
+    """The longest passage of an item in a text: (words, edits, first word, end word), or None.
+
+    `hits` are the places (in the item, in the text) of phrases that both have. Phrases on
+    one diagonal join into runs, runs into chains; a passage is a stretch of a chain with
+    at least `least` words of the item and at most one edit in `one_in` of them. A stretch
+    without a common phrase has an edit in each PHRASE words, so no more than `reach` words
+    with the edits that the whole item allows.
+    """
+    runs = _runs(hits)
+    reach = PHRASE * (len(item) // one_in) + PHRASE - 1
+    end_from = [0] * (len(runs) + 1)
+    for s in range(len(runs) - 1, -1, -1):
+        end_from[s] = max(end_from[s + 1], runs[s][1])
     best = None
     for s, start in enumerate(runs):
-        if best is not None and max(r[1] for r in runs[s:]) - start[0] + 48 <= best[0]:
+        if best is not None and end_from[s] - start[0] + 2 * reach <= best[0]:
             continue
         chain, edits = start, 0
         following = runs[s + 1 :]
@@ -116,7 +131,8 @@ def passage(item: list[int], doc: list[int], hits: list[tuple[int, int]], least:
             for r in following:
                 i, d = chain[1], chain[2] + chain[1] - chain[0]
                 lap = max(0, i - r[0], d - r[2])
-                if r[1] - r[0] <= lap or r[0] + lap - i > 24 or r[2] + lap - d > 24:
+                gaps = r[0] + lap - i, r[2] + lap - d
+                if r[1] - r[0] <= lap or max(gaps) > reach or (found is not None and (abs(gaps[0] - gaps[1]), r[0]) >= found[:2]):
                     continue
                 cost = _edits(item[i : r[0] + lap], doc[d : r[2] + lap])
                 if found is None or (cost, r[0]) < found[:2]:
@@ -124,24 +140,36 @@ def passage(item: list[int], doc: list[int], hits: list[tuple[int, int]], least:
             if found is None:
                 break
             edits += found[0]
+            if edits > len(item) // one_in:
+                break
             chain = found[2]
             stretch.append((chain, edits))
             following = [r for r in following if r[0] > chain[0]]
         for last, cost in reversed(stretch):
-            if best is not None and last[1] - start[0] + 48 <= best[0]:
+            if best is not None and last[1] - start[0] + 2 * reach <= best[0]:
                 break
             i, d, j, e = start[0], start[2], last[1], last[2] + last[1] - last[0]
-            spare = (j - i + 48) // one_in - cost
-            if spare < 0 or j - i + 48 < least:
+            spare = min(len(item), j - i + 2 * reach) // one_in - cost
+            if spare < 0 or j - i + 2 * reach < least:
                 continue
-            for e1, a1, b1 in _ends(item[max(0, i - 24) : i][::-1], doc[max(0, d - 24) : d][::-1], spare):
-                for e2, a2, b2 in _ends(item[j : j + 24], doc[e : e + 24], spare - e1):
+            side = PHRASE * (spare + 1)
+            for e1, a1, b1 in _ends(item[max(0, i - side) : i][::-1], doc[max(0, d - side) : d][::-1], spare):
+                for e2, a2, b2 in _ends(item[j : j + side], doc[e : e + side], spare - e1):
                     n, total = j - i + a1 + a2, cost + e1 + e2
                     if n >= least and total * one_in <= n and (best is None or (n, -total) > best[:2]):
                         best = (n, -total, d - b1, e + b2)
     return best and (best[0], -best[1], best[2], best[3])
 
 
+def passages(item: list[int], doc: list[int], hits: list[tuple[int, int]], least: int, one_in: int, few: int) -> list[tuple[int, int, int, int]]:
+    """All passages of an item in a text, the longest first; none overlaps another in the text."""
+    found = []
+    while len({i for i, _ in hits}) >= few and (best := passage(item, doc, hits, least, one_in)):
+        found.append(best)
+        hits = [(i, d) for i, d in hits if d + PHRASE <= best[2] or d >= best[3]]
+    return found
+
+
 def search_shard(ids: list, docs: list[list[str]], block: Phrases, least: int, one_in: int):
     """(id, item id, words, edits, first word, end word) of every leak in the texts of a shard."""
     get = block.numbers.get
@@ -164,9 +192,7 @@ def search_shard(ids: list, docs: list[list[str]], block: Phrases, least: int, o
     # e edits leave n - e words in e + 1 runs at most, and a run of m words has m - PHRASE + 1 phrases.
     few = max(1, min(n - n // one_in - (PHRASE - 1) * (n // one_in + 1) for n in range(least, 8 * least)))
     for (d, item), found in hits.items():
-        if len({i for i, _ in found}) < few:
-            continue
-        if leak := passage(block.items[item][1], coded[d], found, least, one_in):
+        for leak in passages(block.items[item][1], coded[d], found, least, one_in, few):
             yield ids[d], block.items[item][0], *leak
 
 
@@ -182,44 +208,60 @@ def without_formulas(items: DataFrame, item_col: str, text_col: str) -> DataFram
 def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str, least: int = 20, one_in: int = 8) -> DataFrame:
     """Texts that hold `least` words of an item in unbroken order, one in `one_in` of them edited at most.
 
-    Returns (id_col, item_col, words, edits, start_word, end_word): the longest passage of
-    each item in each text; start and end are the words to remove. Every partition of the
-    corpus is indexed in shards of about SHARD_WORDS words (texts stay whole), without a
-    shuffle: backward search finds all phrases of PHRASE words of the items, sampled suffix
-    positions tell where, and the places of one item in one text are aligned.
+    Returns (id_col, item_col, words, edits, start_word, end_word), a row for each passage;
+    passages of one item in one text do not overlap. Every partition of the corpus is indexed
+    in shards of about SHARD_WORDS words (texts stay whole), without a shuffle and in one pass:
+    backward search finds all phrases of PHRASE words of the items, sampled suffix positions
+    tell where, and the places of one item in one text are aligned.
 
-    Items are sent to the tasks in blocks of ITEMS, each one more pass over the corpus, so
-    that no block outgrows a task. An opening formula that several items share is not
-    searched. Null, empty and short texts or items have no leak; repeated rows come out as
-    often as they come in; an empty table gives an empty result; other columns are not read.
+    Items go to the tasks in blocks of about ITEM_CHARS characters, which a task searches one
+    after the other; the driver holds one block at a time. An opening formula that several
+    items share is not searched. Null, empty and short texts or items have no leak; repeated
+    rows come out as often as they come in; an empty table gives an empty result; other columns
+    are not read.
     """
     spark = docs.sparkSession
     types = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"_id {types[0]}, _item {types[1]}, words int, edits int, start_word int, end_word int"
-    plain = without_formulas(items, item_col, item_text)
-    blocks = max(1, -(-items.count() // ITEMS))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    found = None
+    plain = without_formulas(items, item_col, item_text).where(F.col("_text").isNotNull())
+    total = plain.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // ITEM_CHARS))
+    sent = []
     for b in range(blocks):
-        own = plain.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b) if blocks > 1 else plain
-        sent = spark.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in own.collect()]))  # a block of about ITEMS
-
-        def search(batches, sent=sent):
-            ids, texts, size = [], [], 0
-            for pdf in batches:
-                for i, t in zip(pdf["_id"], pdf["_text"]):
-                    words = words_of(t)
-                    ids.append(i)
-                    texts.append(words)
-                    size += len(words)
-                    if size >= SHARD_WORDS:
-                        yield _leaks(ids, texts, sent.value)
-                        ids, texts, size = [], [], 0
-            yield _leaks(ids, texts, sent.value)
-
-        def _leaks(ids, texts, block):
-            return pd.DataFrame(list(search_shard(ids, texts, block, least, one_in)), columns=["_id", "_item", "words", "edits", "start_word", "end_word"])
-
-        part = rows.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
+        own = plain.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b) if blocks > 1 else plain
+        sent.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in own.collect()]))  # about ITEM_CHARS characters
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+
+    def search(batches):
+        one = phrases_of(sent[0].value) if blocks == 1 else None
+        ids, texts, size = [], [], 0
+        for pdf in batches:
+            for i, t in zip(pdf["_id"], pdf["_text"]):
+                words = words_of(t)
+                ids.append(i)
+                texts.append(words)
+                size += len(words)
+                if size >= SHARD_WORDS:
+                    yield leaks(ids, texts, one)
+                    ids, texts, size = [], [], 0
+        yield leaks(ids, texts, one)
+
+    def leaks(ids, texts, one):
+        found = [leak for block in sent for leak in search_shard(ids, texts, one or phrases_of(block.value), least, one_in)]
+        return pd.DataFrame(found, columns=["_id", "_item", "words", "edits", "start_word", "end_word"])
+
+    return rows.mapInPandas(search, schema).withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
+
+
+def removal_spans(leaks: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, start_word, end_word, words): what to cut from each text, overlapping and touching passages of all items merged.
+
+    A text has at most as many passages as the items have phrases in it. Repeated rows merge.
+    """
+    known = leaks.select(id_col, "start_word", "end_word").distinct()
+    before = Window.partitionBy(id_col).orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("start_word") > F.max("end_word").over(before), F.lit(True))
+    upto = Window.partitionBy(id_col).orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, 0)
+    spans = known.withColumn("_new", opens.cast("int")).withColumn("_span", F.sum("_new").over(upto))
+    merged = spans.groupBy(id_col, "_span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    return merged.select(id_col, "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("words"))

@@ -110,6 +110,13 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "task")
 
 
+def p7_removals(spark: SparkSession, d: str) -> DataFrame:
+    """The words to cut from each document, the passages of all items merged."""
+    from lodestone.llm.leakage import removal_spans
+
+    return removal_spans(p7_leaks(spark, d), "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_residue(spark, d).select("doc_id").distinct()
 
@@ -120,6 +127,13 @@ def p8_residue(spark: SparkSession, d: str) -> DataFrame:
     return detect_residue(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_excluded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to leave out as a whole, by the share of their text that is residue."""
+    from lodestone.llm.residue import excluded
+
+    return excluded(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 

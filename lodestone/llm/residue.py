@@ -1,4 +1,4 @@
-"""Template residue and error-page text (problem 8): a multi-pattern automaton and coverage by sentence."""
+"""Template residue and error-page text (problem 8): a multi-pattern automaton, coverage by sentence and by text."""
 
 from __future__ import annotations
 
@@ -13,15 +13,17 @@ from lodestone.llm import residue_phrases as P
 
 #: A sentence is residue if phrases cover this share of its letters.
 COVERAGE = 0.5
+#: A text is left out as a whole if residue covers this share of its letters.
+EXCLUDE = 0.3
 #: So many filler words make a sentence filler (with COVERAGE).
 FILLER_WORDS = 4
 
 _SLOT = re.compile(P.SLOTS)
-_SLOT_I = re.compile(r"\[(?:insert|your|enter|add|todo:?|tbd:?|inserir|insertar|einfügen)\b[^\]\n]{0,60}\]|<(?:insert|your)[ _-][a-z][^<>\n]{0,40}>", re.I)
+_SLOT_I = re.compile(r"\[(?:insert|your|enter|add|todo:?|tbd:?|inserir|insertar|einfügen)\b[^\]\n]*\]|<(?:insert|your)[ _-][a-z][^<>\n]*>", re.I)
 _SLOT_SIGNS = ("{", "%", "$", "__", "@@", "[", "<", "Invalid Date", "undefined", "null", "NaN")
 _FENCE = re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"``[^`\n]+``|`[^`\n]+`")
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+_TAG = re.compile(r"<[^<>\n]+>")
 _SENTENCE = re.compile(r"(?<=[.!?;…])[\"')\]]*\s+|\n")
 _QUOTE = re.compile(r"\n[ \t]*>[ \t]?")
 _ODD = re.compile(r"[\d/]|[^\x00-\x7f]")
@@ -101,29 +103,34 @@ def _sentence_kind(sentence: str) -> str | None:
 
 
 def residue_of(text: str | None) -> tuple[str, float] | None:
-    """(kind, share of the text's sentences that are residue), or None for real content."""
+    """(kind, share of the text's letters that stand in residue), or None for real content."""
     if text is None or not text.strip():
         return None
     slots = any(sign in text for sign in _SLOT_SIGNS) and (_SLOT.search(text) or _SLOT_I.search(text))
     prose = _INLINE.sub(" ` ", _FENCE.sub("\n", text)) if "`" in text or "~~~" in text else text
     prose = _without_code(prose)
-    kind = None
-    if slots and (_SLOT.search(prose) or _SLOT_I.search(prose)):
-        kind = "slot"
     sentences = [s for s in _SENTENCE.split(_QUOTE.sub("\n", prose)) if s.strip()]
-    covered = [k for s in sentences if (k := _sentence_kind(s))]
-    kind = kind or (covered[0] if covered else None)
-    if kind is None:
+    kinds = [_sentence_kind(s) for s in sentences]
+    if slots:
+        # A slot makes its sentence residue.
+        kinds = ["slot" if _SLOT.search(s) or _SLOT_I.search(s) else k for s, k in zip(sentences, kinds)]
+        if "slot" not in kinds and (_SLOT.search(prose) or _SLOT_I.search(prose)):
+            kinds[0] = "slot"  # one that a sentence's end divides
+    covered = [k for k in kinds if k]
+    if not covered:
         return None
-    return kind, round(max(len(covered), 1) / max(len(sentences), 1), 6)
+    share = sum(_letters(s) for s, k in zip(sentences, kinds) if k) / max(_letters(text), 1)
+    return "slot" if "slot" in covered else covered[0], round(min(share, 1.0), 6)
 
 
 def detect_residue(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` whose text is residue in whole or in part: (id_col, kind, share).
 
     One pass without a shuffle. An automaton over all phrases reads each text sentence by
-    sentence, without code (fenced, in backticks, or the blocks of a text that is code as a whole). `kind` is slot, error,
-    login, wait, script, empty or filler; `share` the residue's share of the sentences.
+    sentence, without code (fenced, in backticks, or the blocks of a text that is code as a
+    whole). A sentence is residue if phrases cover COVERAGE of it. `kind` is slot, error,
+    login, wait, script, empty or filler; `share` is the share of the text's letters that
+    stand in residue sentences: from EXCLUDE on, `excluded` has the text.
 
     Null, empty and blank texts are no residue. Repeated rows come out as often as they
     come in. An empty table gives an empty result; other columns are not read.
@@ -137,3 +144,8 @@ def detect_residue(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     return rows.mapInPandas(scan, f"_id {id_type}, kind string, share double").withColumnRenamed("_id", id_col)
+
+
+def excluded(docs: DataFrame, id_col: str, text_col: str, share: float = EXCLUDE) -> DataFrame:
+    """The rows of `docs` to leave out: those whose residue covers `share` of the text; a line of it in a long text does not."""
+    return detect_residue(docs, id_col, text_col).where(F.col("share") >= share)

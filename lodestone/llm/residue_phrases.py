@@ -74,8 +74,8 @@ MASH = "asdf asdfgh qwer qwerty sdfg zxcv foo bar baz blah test xxx xxxx yyyy hj
 
 # Slots of templates that nobody filled, and values that were rendered badly.
 SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|<<[A-Za-z][\w .-]{0,40}>>|\[\[[A-Za-z][\w .-]{0,40}\]\]"
-    r"|(?<![\w$#{%]){[a-z][a-z_]{1,40}}(?![\w}])|%[A-Z][A-Z0-9_]{1,40}%|(?<![\w$])\$[A-Z][A-Z0-9_]{1,40}\$|(?<![\w])__[A-Z][A-Z0-9_]*?__(?![\w])|@@[A-Z][A-Z0-9_]{1,40}@@"
-    r"|\[(?:insert|your|enter|add|todo:?|tbd:?|inserir|insertar|einfügen)\b[^\]\n]{0,60}\]|\[[A-Z][A-Z ]{0,40}(?:NAME|DATE|TITLE|HERE|EMAIL|URL)\]|<(?:insert|your)[ _-][A-Za-z][^<>\n]{0,40}>"
+    r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|#\{[^{}\n]+\}|<%=?[^%\n]+%>|<<[A-Za-z][\w .-]*>>|\[\[[A-Za-z][\w .-]*\]\]"
+    r"|(?<![\w$#{%]){[a-z][a-z_]+}(?![\w}])|%[A-Z][A-Z0-9_]+%|(?<![\w$])\$[A-Z][A-Z0-9_]+\$|(?<![\w])__[A-Z][A-Z0-9_]*?__(?![\w])|@@[A-Z][A-Z0-9_]+@@"
+    r"|\[(?:insert|your|enter|add|todo:?|tbd:?|inserir|insertar|einfügen)\b[^\]\n]*\]|\[[A-Z][A-Z ]*(?:NAME|DATE|TITLE|HERE|EMAIL|URL)\]|<(?:insert|your)[ _-][A-Za-z][^<>\n]*>"
     r"|\[object Object\]|\bInvalid Date\b|\b(?:by|since|of|version|from|for|hello|hi|dear|von|por|de|desde|am|on)\s+(?:undefined|null|NaN)\b|\b(?:undefined|NaN)\s+(?:of|by|since|undefined|NaN|null)\b"
 )
