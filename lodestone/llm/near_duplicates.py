@@ -22,8 +22,8 @@ ANCHOR, SHORT = 4, 24
 #: Rows of an anchor above which it is a stock phrase or a large group: its pairs are screened by bitmaps of their runs before they are written,
 #: and its texts are spread over blocks of HOT_BLOCK, each meeting each. Both ways find the same pairs.
 HOT, HOT_BLOCK = 64, 8_192
-#: Longs of a bitmap, 64 bits each.
-BITMAP = 4
+#: Longs of a bitmap, 64 bits each: half of them leave six times as many pairs to be compared by their texts.
+BITMAP = 8
 #: Candidate texts up to which their ids (8 bytes each) are broadcast to fetch the texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -213,7 +213,7 @@ def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataF
     # One row for each segment; equal anchors of different segments are kept apart by the mixing.
     parts = prints.select("_class", "n", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", F.col("s.anchors").alias("x"), "s.segments")
     shared = _of_several(parts, ["x"])
-    kept = parts.join(shared, "x").dropDuplicates(["x", "_class"])
+    kept = parts.join(shared, "x").dropDuplicates(["x", "_class"]).checkpoint()
     keys = kept.where(F.col("_count") <= HOT).select("x", "_class", "n", F.explode(_near_codes_udf()("segments")).alias("code"))
     a = keys.select("x", "code", F.col("_class").alias("a"), F.col("n").alias("n_a"))
     b = keys.select("x", "code", F.col("_class").alias("b"), F.col("n").alias("n_b"))
@@ -222,9 +222,7 @@ def similar_classes(rows: DataFrame, size: int, threshold: float) -> tuple[DataF
     marks = prints.select("_class", "n", "bitmap").dropDuplicates(["_class"])
     cold = cold.join(marks.select(F.col("_class").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("m_a")), "a")
     cold = cold.join(marks.select(F.col("_class").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("m_b")), "b").where(_bitmaps_allow(threshold)).select("a", "b")
-    stock = shared.where(F.col("_count") > HOT)
-    marked = prints.select("_class", "n", "bitmap", F.explode(F.arrays_zip("anchors", "segments")).alias("s")).select("_class", "n", "bitmap", F.col("s.anchors").alias("x"), "s.segments")
-    hot = marked.join(stock, "x").dropDuplicates(["x", "_class"]).select("x", "_count", "_class", "n", "bitmap", _near_codes_udf()("segments").alias("codes")).checkpoint()
+    hot = kept.where(F.col("_count") > HOT).join(marks.select("_class", "bitmap"), "_class").select("x", "_count", "_class", "n", "bitmap", _near_codes_udf()("segments").alias("codes"))
     pairs = cold.unionByName(_met_when_hot(hot, threshold)).distinct().checkpoint()
     ids = pairs.select(F.col("a").alias("_class")).union(pairs.select(F.col("b"))).distinct().checkpoint()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
