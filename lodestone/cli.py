@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import fusion, search
 from lodestone.operators import manifest as man
 from lodestone.sources import views as V
+from lodestone.tables import cut
 
 
 def retrieve(spark: SparkSession, d: str, text: str, top: int = fusion.SEEDS, hops: int = 2, max_expand: int = man.MAX_EXPAND):
@@ -21,7 +22,7 @@ def retrieve(spark: SparkSession, d: str, text: str, top: int = fusion.SEEDS, ho
     words = search.ranked_files(search.top(search.bm25(V.chunks_now(spark, d), terms)))
     names = search.symbol_files(search.symbol_scores(V.symbols_now(spark, d), task)).select("file", "rank")
     weights = fusion.package_weights(fusion.infer_roles(V.packages_now(spark, d)).distinct(), fusion.layer_hits(spark, terms))
-    weighted = fusion.weigh(fusion.rrf([words, names]), files, weights).checkpoint()
+    weighted = cut(fusion.weigh(fusion.rrf([words, names]), files, weights))
     none = spark.createDataFrame([], "file string, n long, name string")
     return man.manifest(weighted, fusion.seeds(weighted, top), V.edges_now(spark, d), files, none, hops, max_expand)
 

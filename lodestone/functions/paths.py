@@ -38,6 +38,15 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def normalised(path: Column) -> Column:
+    """A path without empty, `.` and `..` parts; what leads above the top is cut off."""
+    empty = F.expr("cast(array() as array<string>)")
+    step = lambda kept, part: (
+        F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(part.isin("", "."), kept).otherwise(F.concat(kept, F.array(part)))
+    )
+    return F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+
+
 def is_ts(path: Column) -> Column:
     return path.rlike(r"\.tsx?$") & ~path.rlike(r"\.d\.ts$")
 

@@ -2,108 +2,63 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions.paths import node_id, node_prefix
 
-_OPENERS = ("STRUCTURAL_EDIT:", "CRITICAL_REFACTOR:", "MOVE_FILE:", "CREATE_FILE:", "DELETE_FILE:")
-
-
-class _Stream:
-    """A cursor over the lines of an op stream."""
-
-    def __init__(self, text: str):
-        self.lines, self.at = text.split("\n"), 0
-
-    def peek(self) -> str | None:
-        return self.lines[self.at].strip() if self.at < len(self.lines) else None
-
-    def require(self, header: str, what: str) -> None:
-        while self.peek() == "":
-            self.at += 1
-        if self.peek() != header:
-            raise ValueError(f"line {self.at + 1}: expected {header} for {what}")
-        self.at += 1
-
-    def block(self, *stops: str) -> str:
-        taken = []
-        while (line := self.peek()) is not None and line not in stops and not line.startswith(_OPENERS):
-            taken.append(self.lines[self.at])
-            self.at += 1
-        return "\n".join(taken).strip("\n")
-
-
-def ops_of(text: str) -> Iterator[dict]:
-    """Operations of a stream, in order; other lines are noise; a malformed block ends it with an error."""
-    s = _Stream(text)
-    while (line := s.peek()) is not None:
-        opener = next((o for o in _OPENERS if line.startswith(o)), None)
-        s.at += 1
-        if opener is None:
-            continue
-        rest = line[len(opener) :].strip()
-        if opener == "CRITICAL_REFACTOR:":
-            m = re.fullmatch(r"RENAME\s+(\S+)\s+TO\s+([A-Za-z_$][\w$]*)", rest)
-            if not m:
-                raise ValueError(f"line {s.at}: malformed rename")
-            yield {"op_type": "RENAME", "node_id": m[1], "new_name": m[2]}
-        elif opener == "MOVE_FILE:":
-            m = re.fullmatch(r"(\S+)\s+TO\s+(\S+)", rest)
-            if not m:
-                raise ValueError(f"line {s.at}: malformed move")
-            yield {"op_type": "MOVE_FILE", "from_path": m[1], "to_path": m[2]}
-        elif not rest:
-            raise ValueError(f"line {s.at}: {opener[:-1]} without a target")
-        elif opener == "DELETE_FILE:":
-            yield {"op_type": "DELETE_FILE", "path": rest}
-        elif opener == "CREATE_FILE:":
-            s.require("CODE:", rest)
-            yield {"op_type": "CREATE_FILE", "path": rest, "code": s.block()}
-        else:
-            while s.peek() == "":
-                s.at += 1
-            action = s.peek() or ""
-            if not action.startswith("ACTION:"):
-                raise ValueError(f"line {s.at + 1}: expected ACTION: for {rest}")
-            action = action[7:].strip().upper()
-            s.at += 1
-            if action == "REPLACE_TEXT":
-                s.require("OLD:", rest)
-                old = s.block("NEW:")
-                s.require("NEW:", rest)
-                yield {"op_type": action, "node_id": rest, "old_text": old, "new_text": s.block()}
-            else:
-                s.require("CODE:", rest)
-                payload = s.block()
-                if action not in ("SET_BODY", "REPLACE_NODE", "INSERT_BEFORE"):
-                    raise ValueError(f"line {s.at}: unknown action {action}")
-                yield {"op_type": action, "node_id": rest, "body" if action == "SET_BODY" else "code": payload}
+# The words that open an operation.
+OPENERS = ("STRUCTURAL_EDIT", "CRITICAL_REFACTOR", "MOVE_FILE", "CREATE_FILE", "DELETE_FILE")
+
+_REST = r"(\S[^\n]*?)"
+_PATH = r"(\S+)"
+#: Of each operation: its opener, the form of its first line, the headers that must follow (those with a text first to last), and the columns of what is captured.
+FORMS = {
+    "RENAME": ("CRITICAL_REFACTOR", rf"RENAME\s+{_PATH}\s+TO\s+([A-Za-z_$][\w$]*)", [], ["node_id", "new_name"]),
+    "MOVE_FILE": ("MOVE_FILE", rf"{_PATH}\s+TO\s+{_PATH}", [], ["from_path", "to_path"]),
+    "DELETE_FILE": ("DELETE_FILE", _REST, [], ["path"]),
+    "CREATE_FILE": ("CREATE_FILE", _REST, ["CODE"], ["path", "code"]),
+    "SET_BODY": ("STRUCTURAL_EDIT", _REST, ["CODE"], ["node_id", "body"]),
+    "REPLACE_NODE": ("STRUCTURAL_EDIT", _REST, ["CODE"], ["node_id", "code"]),
+    "INSERT_BEFORE": ("STRUCTURAL_EDIT", _REST, ["CODE"], ["node_id", "code"]),
+    "REPLACE_TEXT": ("STRUCTURAL_EDIT", _REST, ["OLD", "NEW"], ["node_id", "old_text", "new_text"]),
+}
+
+
+def _form(op: str) -> str:
+    """The regular expression of a whole block: everything up to the next opener."""
+    opener, first, headers, _ = FORMS[op]
+    action = rf"(?:[ \t]*\n)*[ \t]*ACTION:[ \t]*(?i:{op})[ \t]*(?:\n|$)" if opener == "STRUCTURAL_EDIT" else ""
+    texts = "".join(rf"(?:[ \t]*\n)*[ \t]*{h}:[ \t]*(?:\n|$)(.*{'' if h == headers[-1] else '?'})" for h in headers)
+    return rf"(?s)^[ \t]*{opener}:[ \t]*{first}[ \t]*(?:\n|$){action}{texts}{'$' if headers else ''}"
 
 
 def parse_ops(streams: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, op_index, op_type, ...): the operations of each stream; a malformed stream has one row with the error and no op."""
-    names = [f.name for f in schemas.OPS.fields]
-
-    def parse(batches):
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["_id"], pdf["_text"]):
-                try:
-                    own = list(ops_of(text or ""))
-                except ValueError as e:
-                    own = [{"op_type": "ERROR", "error": str(e)}]
-                rows += [{"_id": key, "op_index": i, **op} for i, op in enumerate(own)]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ["_id", *names]})
-
-    id_type = streams.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.OPS.fields)
-    return streams.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(parse, schema).withColumnRenamed("_id", id_col)
+    """(id, op_index, op_type, ...): the operations of each stream; a malformed stream has one row with the error and no op.
+
+    A stream is cut at the lines that open an operation; each block has to have the form of its
+    operation, and lines behind it are noise. Built-in functions alone, row by row: no Python,
+    no shuffle. Null, empty and noise-only streams have no row.
+    """
+    any_opener = rf"[ \t]*(?:{'|'.join(OPENERS)}):"
+    blocks = F.filter(F.split(F.col(text_col), rf"(?m)(?=^{any_opener})"), lambda b: b.rlike(rf"^{any_opener}"))
+    text = lambda b, op, i: F.regexp_replace(F.regexp_extract(b, _form(op), i), r"^\n+|\n+\z", "")
+    columns = [f.name for f in schemas.OPS.fields if f.name not in ("op_index", "op_type", "error")]
+
+    def operation(block: Column) -> Column:
+        kind, values = F.lit(None).cast("string"), dict.fromkeys(columns, F.lit(None).cast("string"))
+        for op in FORMS:
+            kind = F.when(block.rlike(_form(op)), op).otherwise(kind)
+            for i, name in enumerate(FORMS[op][3], 1):
+                values[name] = F.when(block.rlike(_form(op)), text(block, op, i)).otherwise(values[name])
+        wrong = F.when(kind.isNull(), F.concat(F.lit("no operation has this form: "), F.substring_index(F.trim(block), "\n", 1)))
+        return F.struct(F.coalesce(kind, F.lit("ERROR")).alias("op_type"), *[values[c].alias(c) for c in columns], wrong.alias("error"))
+
+    ops = streams.select(F.col(id_col).alias("_id"), F.transform(blocks, operation).alias("ops"))
+    failed = F.filter("ops", lambda o: o["op_type"] == "ERROR")
+    sound = ops.select("_id", F.posexplode(F.when(F.size(failed) > 0, F.slice(failed, 1, 1)).otherwise(F.col("ops"))).alias("op_index", "op"))
+    return sound.select(F.col("_id").alias(id_col), "op_index", *[F.col(f"op.{f.name}").alias(f.name) for f in schemas.OPS.fields if f.name != "op_index"])
 
 
 def node_ids(symbols: DataFrame) -> DataFrame:

@@ -13,18 +13,18 @@ SEEDS = 8
 
 # Words of a query that point at a layer of the code.
 LAYER_TERMS = {
-    "backend": "route router controller service endpoint api handler transaction atomic schema migration drizzle sql query db database table column index constraint unique presign bucket storage upload cdn webhook cron queue worker middleware auth token credit billing payment deduct balance ledger invoice server",
-    "frontend": "page css dom browser spa ssr hydrate vite webpack router route fetch form",
-    "mobile": "screen layout component tap press gesture scroll navigation navigator navigate view render style stylesheet expo native tab modal sheet drawer safearea keyboard animation animated flatlist touchable pressable",
-    "shared": "type interface enum constant shared util helper dto",
-    "docs": "readme documentation guide changelog",
+    "backend": ("route", "router", "controller", "service", "endpoint", "api", "handler", "transaction", "atomic", "schema", "migration", "drizzle", "sql", "query", "db", "database", "table", "column", "index", "constraint", "unique", "presign", "bucket", "storage", "upload", "cdn", "webhook", "cron", "queue", "worker", "middleware", "auth", "token", "credit", "billing", "payment", "deduct", "balance", "ledger", "invoice", "server"),
+    "frontend": ("page", "css", "dom", "browser", "spa", "ssr", "hydrate", "vite", "webpack", "router", "route", "fetch", "form"),
+    "mobile": ("screen", "layout", "component", "tap", "press", "gesture", "scroll", "navigation", "navigator", "navigate", "view", "render", "style", "stylesheet", "expo", "native", "tab", "modal", "sheet", "drawer", "safearea", "keyboard", "animation", "animated", "flatlist", "touchable", "pressable"),
+    "shared": ("type", "interface", "enum", "constant", "shared", "util", "helper", "dto"),
+    "docs": ("readme", "documentation", "guide", "changelog"),
 }
 
 # Dependency name prefixes that tell a role, the first role first.
 DEPENDENCIES = {
-    "mobile": "react-native expo @expo/ @react-navigation/ @react-native nativewind",
-    "frontend": "next nuxt vite @vitejs/ vue svelte @sveltejs/ @angular/ react-dom react-router-dom gatsby @remix-run/ astro",
-    "backend": "express fastify elysia hono koa @nestjs/ @hapi/ drizzle-orm drizzle-kit prisma @prisma/ mongoose typeorm sequelize knex pg postgres mysql mysql2 @aws-sdk/ firebase-admin ioredis bullmq kafkajs @trpc/server apollo-server graphql-yoga",
+    "mobile": ("react-native", "expo", "@expo/", "@react-navigation/", "@react-native", "nativewind"),
+    "frontend": ("next", "nuxt", "vite", "@vitejs/", "vue", "svelte", "@sveltejs/", "@angular/", "react-dom", "react-router-dom", "gatsby", "@remix-run/", "astro"),
+    "backend": ("express", "fastify", "elysia", "hono", "koa", "@nestjs/", "@hapi/", "drizzle-orm", "drizzle-kit", "prisma", "@prisma/", "mongoose", "typeorm", "sequelize", "knex", "pg", "postgres", "mysql", "mysql2", "@aws-sdk/", "firebase-admin", "ioredis", "bullmq", "kafkajs", "@trpc/server", "apollo-server", "graphql-yoga"),
 }
 
 # Parts of a package's name or directory that tell a role, the first role first.
@@ -49,7 +49,7 @@ def rrf(lists: list[DataFrame]) -> DataFrame:
 def layer_hits(spark: SparkSession, terms: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
     """(role, hits): different layer words that a query token equals or, from four letters on, begins with."""
     extra = extra or {}
-    rows = sorted({(r, t) for r in ROLES for t in [*LAYER_TERMS[r].split(), *extra.get(r, [])]})
+    rows = sorted({(r, t) for r in ROLES for t in [*LAYER_TERMS[r], *extra.get(r, [])]})
     words = F.broadcast(spark.createDataFrame(rows, "role string, word string"))
     hit = (F.col("term") == F.col("word")) | ((F.length("word") >= 4) & F.col("term").startswith(F.col("word")))
     hits = terms.select("term").distinct().join(words, hit).groupBy("role").agg(F.countDistinct("word").alias("hits"))
@@ -66,17 +66,28 @@ def role_by_name(name: Column, where: Column) -> Column:
     return found.otherwise("unknown")
 
 
-def infer_roles(packages: DataFrame, deps: DataFrame | None = None) -> DataFrame:
-    """(name, dir, role): the given role if it is one; else by dependencies (name, dep), else by name and directory."""
+def infer_roles(packages: DataFrame, deps: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
+    """(name, dir, role): the given role if it is one; else by dependencies (name, dep), by compiler options (name, option, value), by name and directory.
+
+    Types of a server's runtime tell a backend, the browser's library a frontend.
+    """
     given = F.when(F.col("role").isin(*ROLES), F.col("role"))
-    by_dep = F.lit(None).cast("string")
+    signs = [given]
     rows = packages
     if deps is not None:
-        prints = [(p, i, r) for i, (r, ps) in enumerate(DEPENDENCIES.items()) for p in ps.split()]
+        prints = [(p, i, r) for i, (r, ps) in enumerate(DEPENDENCIES.items()) for p in ps]
         marks = F.broadcast(packages.sparkSession.createDataFrame(prints, "prefix string, priority int, dep_role string"))
         found = deps.join(marks, F.lower("dep").startswith(F.col("prefix"))).groupBy("name").agg(F.min_by("dep_role", "priority").alias("dep_role"))
-        rows, by_dep = packages.join(found, "name", "left"), F.col("dep_role")
-    return rows.select("name", "dir", F.coalesce(given, by_dep, role_by_name(F.col("name"), F.col("dir"))).alias("role"))
+        rows = rows.join(found, "name", "left")
+        signs.append(F.col("dep_role"))
+    if options is not None:
+        value = F.lower("value")
+        server = F.max((F.col("option") == "types") & value.isin("bun-types", "node"))
+        browser = F.max((F.col("option") == "lib") & value.startswith("dom"))
+        found = options.groupBy("name").agg(F.when(server, "backend").when(browser, "frontend").alias("option_role"))
+        rows = rows.join(found, "name", "left")
+        signs.append(F.col("option_role"))
+    return rows.select("name", "dir", F.coalesce(*signs, role_by_name(F.col("name"), F.col("dir"))).alias("role"))
 
 
 def package_weights(roles: DataFrame, hits: DataFrame, static: dict[str, float] | None = None, boost: float = BOOST, enabled: bool = True) -> DataFrame:

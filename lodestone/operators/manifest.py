@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import is_doc
 from lodestone.operators.graph import ADJACENCY_BONUS, HOPS, adjacency, expand
+from lodestone.tables import cut
 
 MAX_EXPAND, MATCHED, MATCH_ROWS, WHOLE_FILE_LINES = 10, 6, 40, 50
 
@@ -27,7 +28,7 @@ def whole_file(files: DataFrame) -> DataFrame:
 
 def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: DataFrame, matched: DataFrame, hops: int = HOPS, max_expand: int = MAX_EXPAND) -> DataFrame:
     """(pos, file, pkg, reason, score, whole, symbols): seeds and the best of what they are linked with."""
-    seeds = seeds.select("pos", "file").checkpoint()
+    seeds = cut(seeds.select("pos", "file"))
     grown = expand(seeds, edges, hops)
     candidates = seeds.select("file", F.lit(0).cast("long").alias("hop"), "pos", F.when(is_doc(F.col("file")), "doc").otherwise("query-match").alias("reason")).unionByName(grown.select("file", "hop", "pos", "reason"))
     scored = candidates.join(weighted.select("file", F.col("score").alias("base")), "file", "left").join(adjacency(candidates, seeds, edges), "file")

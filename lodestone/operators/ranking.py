@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.tables import ensure_checkpoint_dir
+from lodestone.tables import cut
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -14,8 +14,7 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     Rows are range-partitioned by the order; each partition counts its own rows, and the
     counts before it (one row for each partition) are added.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

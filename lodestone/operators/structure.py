@@ -103,11 +103,12 @@ def slice_lines(contents: DataFrame, ranges: DataFrame) -> DataFrame:
     return kept.groupBy("file").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "body"))), lambda x: x["body"]), "\n").alias("text"))
 
 
-def project_chunks(symbols: DataFrame, body: str) -> DataFrame:
-    """(id, signature, text): id file#name@line, first line as signature, text of kind and name, doc and the body's beginning."""
+def project_chunks(symbols: DataFrame, body: str, *also: str) -> DataFrame:
+    """(id, signature, text, also): id file#name@line, first line as signature, text of kind and name, doc and the body's beginning."""
     trimmed = F.regexp_replace(F.split_part(F.regexp_replace(body, r"^\s+", ""), F.lit("\n"), F.lit(1)), r"\s+$", "")
     return symbols.select(
         F.concat("file", F.lit("#"), "symbol", F.lit("@"), F.col("start_line").cast("string")).alias("id"),
         F.substring(trimmed, 1, SIGNATURE_CHARS).alias("signature"),
         F.concat_ws("\n", F.concat_ws(" ", "kind", "symbol"), F.when(F.col("doc") != "", F.col("doc")), F.when(F.col(body) != "", F.substring(body, 1, TEXT_CHARS))).alias("text"),
+        *also,
     )

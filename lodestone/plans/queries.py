@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths, vector
 from lodestone.functions.text import token_count, tokenize
-from lodestone.operators import edits, evaluation, fusion, graph, maintenance, search, structure
+from lodestone.operators import edits, evaluation, fusion, graph, indexing, maintenance, search, structure
 from lodestone.operators import manifest as man
 from lodestone.sources import views as V
 from lodestone.streaming import ingest
-from lodestone.tables import table
+from lodestone.tables import cut, ensure_checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -186,6 +187,21 @@ def edges_reverse(s, d):
     return graph.degree_lists(V.edges_now(s, d), "dst", "src")
 
 
+@query
+def adjacency_forward(s, d):
+    return graph.neighbours(V.edges_now(s, d), "src", "dst")
+
+
+@query
+def adjacency_reverse(s, d):
+    return graph.neighbours(V.edges_now(s, d), "dst", "src")
+
+
+@query
+def symbol_index(s, d):
+    return graph.symbol_index(V.symbols_now(s, d))
+
+
 def _hubs(s, d):
     """(pos, file): the ten files with the most importers."""
     n = V.edges_now(s, d).groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("n"))
@@ -194,12 +210,12 @@ def _hubs(s, d):
 
 @query
 def graph_expand_1hop(s, d):
-    return graph.expand(_hubs(s, d).checkpoint(), V.edges_now(s, d), 1)
+    return graph.expand(cut(_hubs(s, d)), V.edges_now(s, d), 1)
 
 
 @query
 def graph_expand(s, d):
-    return graph.expand(_hubs(s, d).checkpoint(), V.edges_now(s, d), 2)
+    return graph.expand(cut(_hubs(s, d)), V.edges_now(s, d), 2)
 
 
 @query
@@ -227,6 +243,32 @@ def import_resolve(s, d):
     return graph.resolve_imports(_imports(s, d), exact, by_name)
 
 
+@query
+def import_statements(s, d):
+    """Every import and re-export of the code, in all forms."""
+    return graph.statements(_code(s, d)).select("src", "spec", "name", F.col("exported").isNotNull().alias("exported"))
+
+
+def _code(s, d):
+    return _sources(s, d).where(~paths.is_doc(F.col("file")))
+
+
+@query
+def import_targets(s, d):
+    """The files that imports lead to: handed on, own file, index file or package."""
+    found = cut(graph.statements(_code(s, d)))
+    packages = V.packages_now(s, d)
+    return graph.import_targets(found.select("src", "spec", "name"), found, table(s, d, "source_files").select("file"), packages, graph.symbol_index(V.symbols_now(s, d)))
+
+
+@query
+def cross_pkg_targets(s, d):
+    """A function named through its package, with a path behind it, and the files that declare it there."""
+    c = V.chunks_now(s, d).where("kind = 'function' and pkg is not null").select(F.concat("pkg", F.lit("/"), "symbol").alias("spec"), F.col("symbol").alias("name")).distinct()
+    pkg = graph.specifier_packages(c, V.packages_now(s, d))
+    return c.join(pkg, "spec").join(graph.symbol_index(V.symbols_now(s, d)), ["pkg", "name"]).select("spec", "name", "position", "file")
+
+
 @query
 def cross_pkg_resolve(s, d):
     own = V.symbols_now(s, d).where("kind not in ('method', 'doc') and pkg is not null")
@@ -236,9 +278,13 @@ def cross_pkg_resolve(s, d):
 # Manifest
 
 
+def _lines_in_order(chunks):
+    return chunks.withColumns({"start_line": F.least("start_line", "end_line"), "end_line": F.greatest("start_line", "end_line")})
+
+
 @query
 def matched_symbols(s, d):
-    return man.matched_symbols(dense_topk(s, d), table(s, d, "chunks").withColumns({"start_line": F.least("start_line", "end_line"), "end_line": F.greatest("start_line", "end_line")}))
+    return man.matched_symbols(dense_topk(s, d), _lines_in_order(table(s, d, "chunks")))
 
 
 @query
@@ -248,8 +294,10 @@ def whole_file_flag(s, d):
 
 def manifest_of(s, d):
     files = V.files_now(s, d)
-    weighted = _weighted(s, d).checkpoint()
-    return man.manifest(weighted, fusion.seeds(weighted), V.edges_now(s, d), files, matched_symbols(s, d))
+    dense = cut(dense_topk(s, d))  # at most TOP rows, read for the ranks and for the matched symbols
+    lists = [search.ranked_files(dense), bm25_files(s, d), symbol_search(s, d).select("file", "rank")]
+    weighted = cut(fusion.weigh(fusion.rrf(lists), files, package_weight(s, d)))
+    return man.manifest(weighted, fusion.seeds(weighted), V.edges_now(s, d), files, man.matched_symbols(dense, _lines_in_order(table(s, d, "chunks"))))
 
 
 @query
@@ -328,11 +376,75 @@ def chunk_project(s, d):
 # Index and maintenance
 
 
+@query
+def symbol_extract(s, d):
+    """The symbols of the indexed files, read from their texts; constants are told by use in ways that the table does not record."""
+    known = table(s, d, "symbols").where("kind <> 'doc'").select("file").distinct()
+    found = indexing.extract_symbols(_sources(s, d).join(known, "file", "left_semi"))
+    return found.where("kind <> 'const'").select("file", "name", "kind", _long("start_line"), _long("end_line")).distinct()
+
+
+@query
+def index_from_sources(s, d):
+    """Chunks by package and kind of an index that is made from the texts alone."""
+    c = indexing.chunks_of(_sources(s, d), V.packages_now(s, d))
+    return c.where("kind not in ('const', 'doc')").join(table(s, d, "symbols").where("kind <> 'doc'").select("file").distinct(), "file", "left_semi").groupBy("kind").agg(F.countDistinct("chunk_id").alias("n"))
+
+
+#: Saved indexes of this session, by directory of tables.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _index(s, d):
+    """The saved index of the tables; written once a session, into the folder for checkpoints."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _SAVED:
+        root = f"{ensure_checkpoint_dir(s)}/index-{uuid.uuid4().hex}"
+        maintenance.save(s, maintenance.build(V.chunks_now(s, d), V.vectors_now(s, d), V.edges_now(s, d), V.files_now(s, d)), root)
+        _SAVED[key] = root
+    return maintenance.load(s, _SAVED[key])
+
+
+@query
+def bm25_indexed(s, d):
+    return search.top(search.bm25_indexed(_index(s, d), _terms(s, d)))
+
+
+@query
+def dense_indexed(s, d):
+    i = _index(s, d)
+    return search.top(search.dense(i["chunks"], i["vectors"], _query_vector(s, d)))
+
+
+@query
+def manifest_indexed(s, d):
+    """The manifest from a saved index: no text of a chunk is read."""
+    i = _index(s, d)
+    dense = cut(dense_indexed(s, d))
+    lists = [search.ranked_files(dense), search.ranked_files(bm25_indexed(s, d)), symbol_search(s, d).select("file", "rank")]
+    weighted = cut(fusion.weigh(fusion.rrf(lists), i["files"], package_weight(s, d)))
+    return man.manifest(weighted, fusion.seeds(weighted), i["edges"], i["files"], man.matched_symbols(dense, i["chunks"]))
+
+
+@query
+def index_update(s, d):
+    """Lengths of the chunks of a saved index after the files of one package lost their second half of chunks and those of few lines were deleted."""
+    i = _index(s, d)
+    files = i["files"].where(F.col("pkg") == HOT_PKG)
+    deleted = i["files"].where("n_lines <= 20").select("file")
+    now = i["chunks"].join(files.select("file"), "file", "left_semi").join(deleted, "file", "left_anti").where("ord % 2 = 0")
+    new = maintenance.updated(i, now, i["vectors"].join(now.select("ord"), "ord", "left_semi"), i["edges"].join(files.select(F.col("file").alias("src")), "src", "left_semi"), files.join(deleted, "file", "left_anti"), deleted)
+    root = f"{ensure_checkpoint_dir(s)}/index-{uuid.uuid4().hex}"
+    maintenance.save(s, new, root)
+    i = maintenance.load(s, root)
+    return i["doclen"].join(i["postings"].groupBy("ord").agg(F.sum("tf").alias("tokens")), "ord", "left").select("ord", "file", "len", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
 @query
 def build_index_stats(s, d):
     c = V.chunks_now(s, d)
     index = maintenance.build(c, V.vectors_now(s, d), V.edges_now(s, d), V.files_now(s, d))
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n, df in sorted(index.items())]
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n, df in sorted(index.items()) if n != "stats"]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -507,6 +619,12 @@ def bm25_batch(s, d):
     return _batch_ranks(s, d)
 
 
+@query
+def eval_metrics_files(s, d):
+    """Expected files as they are named: ranks of the files themselves."""
+    return evaluation.metrics(evaluation.ranks(_batch_ranks(s, d).select("item_id", "file", "rank"), table(s, d, "eval_items").select("item_id", "layer", "expect"), search.TOP))
+
+
 @query
 def eval_metrics(s, d):
     """Expected files are matched by their package: items name files of the index only in part."""

@@ -46,12 +46,14 @@ def _any(x: str, globs) -> str:
 
 _TS = r"regexp_matches(file, '\.tsx?$') AND NOT regexp_matches(file, '\.d\.ts$')"
 _DOC = r"regexp_matches(file, '\.mdx?$')"
-_LAYER = ", ".join(f"('{r}', '{w}')" for r in fusion.ROLES for w in fusion.LAYER_TERMS[r].split())
+_LAYER = ", ".join(f"('{r}', '{w}')" for r in fusion.ROLES for w in fusion.LAYER_TERMS[r])
 _ROLE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(hay, '{p}')" for p in parts) + f" THEN '{role}'" for role, parts in fusion.NAME_PARTS.items()) + " ELSE 'unknown' END"
 _DOT = "list_dot_product(embedding::DOUBLE[], q::DOUBLE[])"
 _NORM = "sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
 _QNORM = "sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))"
 
+_STATEMENT = r"""(?m)^[ \t]*(?:import|export)\s[^;''"`()=:]*?\bfrom\s*["''][^"''\n]+["'']|^[ \t]*import\s*["''][^"''\n]+["'']"""
+
 # Named parts; each may use those before it.
 PARTS = {
     "cn": "SELECT * REPLACE (least(start_line, end_line) AS start_line, greatest(start_line, end_line) AS end_line, trim(pkg) AS pkg, coalesce(text, '') AS text) FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ord DESC) = 1",
@@ -134,24 +136,37 @@ PARTS |= {
     "mk": r"SELECT file, n, body, regexp_extract(body, '^#{1,3}\s+(.+)', 1) AS title FROM ln WHERE regexp_matches(file, '\.mdx?$')",
     "sec": "SELECT *, sum(CASE WHEN title <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n) AS section FROM mk",
     "sm": r"SELECT file, section, min(n) AS a, max(n) AS b, max(title) AS title, string_agg(body, chr(10) ORDER BY n) AS body FROM sec GROUP BY file, section HAVING regexp_matches(string_agg(body, chr(10) ORDER BY n), '\S')",
+    "si": "SELECT pkg, name, row_number() OVER (PARTITION BY pkg, name ORDER BY file) AS position, file FROM (SELECT DISTINCT pkg, name, file FROM sn WHERE kind NOT IN ('method', 'doc') AND pkg IS NOT NULL AND name IS NOT NULL)",
+    "ist": rf"""SELECT src, t, regexp_extract(t, '["'']([^"''\n]+)["'']$', 1) AS spec FROM (SELECT file AS src, unnest(regexp_extract_all(content, '{_STATEMENT}')) AS t FROM sf WHERE NOT {_DOC})""",
+    "inm": r"""SELECT src, spec, regexp_matches(t, '^\s*export') AS exported, unnest(CASE WHEN len(n) > 0 THEN n ELSE [''] END) AS name FROM (SELECT src, spec, t, list_concat(
+        CASE WHEN regexp_matches(t, '^\s*import\s+(?:type\s+)?[A-Za-z_$][\w$]*\s*(?:,|\s+from)') THEN ['default'] ELSE [] END,
+        list_concat(CASE WHEN contains(t, '*') THEN [regexp_replace(regexp_extract(t, '(\*(?:\s*as\s+[\w$]+)?)', 1), '\s+', ' ', 'g')] ELSE [] END,
+        list_filter(list_transform(string_split(regexp_extract(t, '\{([^}]*)\}', 1), ','), lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^type ', '')), lambda x: x <> ''))) AS n FROM ist)""",
+    "stm": "SELECT DISTINCT src, spec, split_part(name, ' as ', 1) AS name, exported FROM inm",
+    "mods": r"""SELECT DISTINCT file AS path, file AS target, 1 AS stage FROM source_files UNION SELECT regexp_replace(file, '(\.d)?\.[jt]sx?$', ''), file, 1 FROM source_files WHERE regexp_matches(file, '\.[jt]sx?$')
+        UNION SELECT regexp_replace(file, '/?index\.[jt]sx?$', ''), file, 2 FROM source_files WHERE regexp_matches(file, '(^|/)index\.[jt]sx?$')""",
+    "sp": "SELECT spec, arg_max(pk.name, length(pk.name)) AS pkg FROM (SELECT DISTINCT spec FROM stm UNION SELECT DISTINCT pkg || '/' || symbol FROM cn WHERE kind = 'function') x JOIN pk ON spec = pk.name OR starts_with(spec, pk.name || '/') GROUP BY spec",
+    "imt": "SELECT src, spec, stm.name, target, stage FROM stm JOIN mods ON starts_with(spec, '@/') AND path = substring(spec, 3) WHERE src <> target UNION SELECT src, stm.spec, stm.name, file, 3 FROM stm JOIN sp ON sp.spec = stm.spec JOIN si ON si.pkg = sp.pkg AND si.name = stm.name WHERE src <> file",
     "mv": "SELECT DISTINCT file AS from_path, regexp_replace(file, '^libs/', 'packages/') AS to_path FROM files WHERE starts_with(file, 'libs/')",
 }
 
 _ORDER = list(PARTS)
 
 
-def _with(final: str) -> str:
-    """Puts the parts that a statement uses, directly or through others, in front of it."""
+def _with(final: str, **own: str) -> str:
+    """Puts the parts that a statement uses, directly or through others, in front of it; `own` replaces some."""
     import re
 
+    chosen = PARTS | own
+
     def used(text: str) -> set[str]:
         return {w for w in re.findall(r"(?:FROM|JOIN|,)\s+\(?\s*(\w+)", text) if w in PARTS}
 
     need, todo = set(), used(final)
     while todo:
         need |= todo
-        todo = set().union(*(used(PARTS[p]) for p in todo)) - need
-    parts = ",\n".join(f"{p} AS ({PARTS[p]})" for p in _ORDER if p in need)
+        todo = set().union(*(used(chosen[p]) for p in todo)) - need
+    parts = ",\n".join(f"{p} AS ({chosen[p]})" for p in _ORDER if p in need)
     return f"WITH {parts}\n{final}" if parts else final
 
 
@@ -179,6 +194,17 @@ STATEMENTS = {
     "package_weight": "SELECT name, role, hits, weight FROM pw",
     "weighted_fusion": "SELECT file, pkg, score FROM wf",
     "seed_ranking": "SELECT pos, file, pkg, score FROM se",
+    "adjacency_forward": "SELECT src AS file, row_number() OVER (PARTITION BY src ORDER BY dst) AS position, dst AS neighbour FROM en",
+    "adjacency_reverse": "SELECT dst AS file, row_number() OVER (PARTITION BY dst ORDER BY src) AS position, src AS neighbour FROM en",
+    "symbol_index": "SELECT pkg, name, position, file FROM si",
+    "import_statements": "SELECT src, spec, name, exported FROM stm",
+    "import_targets": "SELECT src, spec, name, target, stage::BIGINT AS stage FROM imt QUALIFY stage = min(stage) OVER (PARTITION BY src, spec, name)",
+    "cross_pkg_targets": "SELECT c.spec, c.name, position, file FROM (SELECT DISTINCT pkg || '/' || symbol AS spec, symbol AS name FROM cn WHERE kind = 'function' AND pkg IS NOT NULL) c JOIN sp ON sp.spec = c.spec JOIN si ON si.pkg = sp.pkg AND si.name = c.name",
+    "symbol_extract": "SELECT DISTINCT file, name, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line FROM symbols WHERE kind NOT IN ('doc', 'const')",
+    "index_from_sources": "SELECT kind, count(DISTINCT id) AS n FROM symbols WHERE kind NOT IN ('doc', 'const') GROUP BY kind",
+    "bm25_indexed": "SELECT ord, file, score FROM bk",
+    "index_update": f"SELECT ord, file, len, len AS tokens FROM dl WHERE file NOT IN (SELECT file FROM fn WHERE n_lines <= 20) AND (file NOT IN (SELECT file FROM fn WHERE pkg = '{HOT_PKG}') OR ord % 2 = 0)",
+    "eval_metrics_files": "SELECT layer, count(*) AS items, count(rank) AS passed, round(avg(rank), 6) AS mean_rank, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr FROM (SELECT e.item_id, layer, r.rank FROM eval_items e LEFT JOIN (SELECT br.item_id, min(rank) - 1 AS rank FROM br JOIN (SELECT item_id, unnest(expect) AS file FROM eval_items) w ON w.item_id = br.item_id AND w.file = br.file GROUP BY br.item_id) r ON r.item_id = e.item_id) GROUP BY layer",
     "edges_forward": _DEG.format(k="src", o="dst"),
     "edges_reverse": _DEG.format(k="dst", o="src"),
     "graph_expand_1hop": _EXPANDED.format(h=1, t="g1"),
@@ -232,4 +258,7 @@ SELECT ord, file, score FROM bm WHERE score > 0 ORDER BY score DESC, ord LIMIT 8
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(text) for name, text in STATEMENTS.items()} | {"bm25_documents": _DOCS}
+    # A saved index keeps the latest delivery of a chunk alone.
+    kept = PARTS["dk"].replace("JOIN chunks ON chunks.ord", "JOIN cn AS chunks ON chunks.ord")
+    indexed = {"dense_indexed": _with(STATEMENTS["dense_topk"], dk=kept), "manifest_indexed": _with(STATEMENTS["manifest"], dk=kept)}
+    return {name: _with(text) for name, text in STATEMENTS.items()} | indexed | {"bm25_documents": _DOCS}

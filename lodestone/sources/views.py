@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vector import usable
-from lodestone.tables import table
+from lodestone.tables import cut, table
 
 DIMS = 64
+#: Ids (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def _latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -18,9 +20,10 @@ def _latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
 def chunks_now(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, each id as it was last delivered; line ranges in order."""
     all_ = table(spark, d, "chunks")
-    # The last ord of each id first: only ids and ords are aggregated, and what a caller does not select is never read.
-    last = all_.groupBy("chunk_id").agg(F.max("ord").alias("ord")).select("ord")
-    c = all_.join(last, "ord", "left_semi")
+    # Which rows a later delivery replaced: only ids and ords are read for it, and only repeated ids are left. Texts are not moved unless those are many.
+    newest = all_.groupBy("chunk_id").agg(F.max("ord").alias("newest"), F.count("*").alias("n")).where("n > 1")
+    replaced = cut(spark.read.parquet(f"{d}/chunks.parquet").select(F.col("chunk_id").alias("id"), "ord").join(newest, F.col("id").eqNullSafe(F.col("chunk_id"))).where("ord < newest").select("ord"))
+    c = all_.join(F.broadcast(replaced) if replaced.count() <= BROADCAST_IDS else replaced, "ord", "left_anti")
     low, high = F.least("start_line", "end_line"), F.greatest("start_line", "end_line")
     return c.withColumns({"start_line": low, "end_line": high, "pkg": F.trim("pkg"), "text": F.coalesce("text", F.lit(""))})
 

@@ -22,54 +22,43 @@ def _scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def latest_states(spark: SparkSession, d: str) -> DataFrame:
-    """(file, mtime_ms, n_lines): the newest state of each file, kept up by batches of arrivals.
+def _updates(rows: DataFrame, root: str) -> DataFrame | None:
+    """Runs a stateful stream over all that is there and gives what it wrote: the groups that each micro-batch changed, by `batch`; None for no batch.
 
-    Every micro-batch merges its own newest states with the last version into a new one, by
-    batch number: a batch that runs twice writes the same version again. Late arrivals of
-    older states change nothing.
+    The state store keeps the groups; a batch writes its own changes alone, under its number,
+    so that one that runs twice writes the same again.
     """
-    root = _scratch(spark)
-    newest = F.max(F.struct("mtime_ms", "n_lines"))
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("file").agg(newest.alias("s")).select("file", "s.mtime_ms", "s.n_lines")
-        if number > 0:
-            fresh = fresh.unionByName(batch.sparkSession.read.parquet(f"{root}/v{number - 1}")).groupBy("file").agg(newest.alias("s")).select("file", "s.mtime_ms", "s.n_lines")
-        fresh.write.mode("overwrite").parquet(f"{root}/v{number}")
-        last["n"] = number
-
-    last = {"n": -1}
-    rows = read_stream(spark, d, "files").select("file", "mtime_ms", "n_lines")
-    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if last["n"] < 0:
-        return rows.sparkSession.createDataFrame([], rows.schema)
-    return spark.read.parquet(f"{root}/v{last['n']}").withColumn("n_lines", F.col("n_lines").cast("long"))
-
-
-def event_windows(spark: SparkSession, d: str, width: str = "1 hour") -> DataFrame:
+    spark, wrote = rows.sparkSession, []
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        wrote.append(number)
+
+    rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out") if wrote else None
+
+
+def latest_states(spark: SparkSession, d: str) -> DataFrame:
+    """(file, mtime_ms, n_lines): the newest state of each file, kept up by batches of arrivals; late arrivals of older states change nothing."""
+    newest = F.max(F.struct("mtime_ms", "n_lines")).alias("s")
+    states = read_stream(spark, d, "files").groupBy("file").agg(newest)
+    found = _updates(states, _scratch(spark))
+    if found is None:
+        return spark.createDataFrame([], "file string, mtime_ms double, n_lines long")
+    return found.groupBy("file").agg(F.max("s").alias("s")).select("file", "s.mtime_ms", F.col("s.n_lines").cast("long").alias("n_lines"))
+
+
+def event_windows(spark: SparkSession, d: str, seconds: int = 3600) -> DataFrame:
     """(window_start, event_type, n, total): events counted in tumbling windows of event time, those without a time by themselves.
 
-    Stored files come in any order of event time, so there is no watermark: each micro-batch
-    adds its partial counts to the last version, by batch number, and no event is too late.
+    Stored files come in any order of event time, so there is no watermark: no event is too
+    late. The state grows with the windows, not with the events.
     """
-    root = _scratch(spark)
-    sums = [F.sum("n").alias("n"), F.sum("total").alias("total")]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        part = batch.select("at", "event_type", F.lit(1).cast("long").alias("n"), F.col("value").cast("double").alias("total"))
-        timed = part.where("at is not null").groupBy(F.window("at", width).alias("w"), "event_type").agg(*sums).select(F.col("w.start").alias("at"), "event_type", "n", "total")
-        fresh = timed.unionByName(part.where("at is null").groupBy("at", "event_type").agg(*sums))
-        if number > 0:
-            fresh = fresh.unionByName(batch.sparkSession.read.parquet(f"{root}/v{number - 1}")).groupBy("at", "event_type").agg(*sums)
-        fresh.write.mode("overwrite").parquet(f"{root}/v{number}")
-        last["n"] = number
-
-    last = {"n": -1}
-    events = read_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if last["n"] < 0:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = F.timestamp_micros(at - F.pmod(at, F.lit(seconds * 1_000_000)))
+    counted = read_stream(spark, d, "events").groupBy(start.alias("at"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("double")).alias("total"))
+    found = _updates(counted, _scratch(spark))
+    if found is None:
         return spark.createDataFrame([], "window_start timestamp_ntz, event_type string, n long, total double")
-    return spark.read.parquet(f"{root}/v{last['n']}").select(F.col("at").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    last = found.groupBy("at", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
+    return last.select(F.col("at").cast("timestamp_ntz").alias("window_start"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
