@@ -15,6 +15,11 @@ _TYPES = {"F32": np.float32, "F64": np.float64, "I64": np.int64}
 MAX_TOKENS, CHARS_PER_TOKEN = 512, 7
 
 
+def is_static_model(name: str) -> bool:
+    """Whether a model's name says that it is a table of token vectors; others are networks, which are not run here."""
+    return name.startswith("minishlab/") or any(part.startswith(("potion", "model2vec")) for part in name.lower().split("/"))
+
+
 def read_safetensors(path: str) -> dict[str, np.ndarray]:
     """Tensors of a file: eight bytes of header length, a JSON header, the data. Other number types raise."""
     raw = Path(path).read_bytes()

@@ -31,9 +31,9 @@ def extract_symbols(contents: DataFrame) -> DataFrame:
     return code.mapInPandas(read, "file string, name string, kind string, start_line int, end_line int, doc string, signature string, body string")
 
 
-def chunks_of(contents: DataFrame, packages: DataFrame, after: int = -1) -> DataFrame:
-    """The chunks of (file, content): one for each symbol and each section of a document, numbered from `after` + 1 by file, kind and line."""
-    s = extract_symbols(contents).join(structure.owners(contents.where(~is_doc(F.col("file"))), packages).withColumnRenamed("owner", "pkg"), "file", "left")
+def chunks_of(contents: DataFrame, packages: DataFrame, after: int = -1, fallback: str | None = None) -> DataFrame:
+    """The chunks of (file, content): one for each symbol and each section of a document, numbered from `after` + 1 by file, kind and line; `fallback` is the package of files under none."""
+    s = extract_symbols(contents).join(structure.owners(contents.where(~is_doc(F.col("file"))), packages, fallback).withColumnRenamed("owner", "pkg"), "file", "left")
     made = structure.project_chunks(s.withColumnRenamed("name", "symbol"), "body", "file", "pkg", "symbol", "kind", "start_line", "end_line", "doc")
     docs = structure.sections(contents.where(is_doc(F.col("file")))).select(
         F.concat("file", F.lit("#"), "title", F.lit("@"), F.col("start_line").cast("string")).alias("id"), F.substring("title", 1, structure.SIGNATURE_CHARS).alias("signature"), "text",

@@ -47,7 +47,7 @@ def save(spark: SparkSession, index: dict[str, DataFrame], root: str, model: str
         df.write.mode("errorifexists").parquet(f"{root}/{version}/{name}")
     known = _versions(spark, root)
     number = 0 if known is None else known.agg(F.max("number")).first()[0] + 1
-    row = spark.createDataFrame([(number, version, model, dims)], schemas.VERSIONS)
+    row = spark.createDataFrame([(number, version, model, dims, "packages" in index)], schemas.VERSIONS)
     row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
@@ -75,7 +75,11 @@ def load(spark: SparkSession, root: str, model: str = "", dims: int = 64) -> dic
         raise FileNotFoundError(f"no index in {root}")
     if (newest["model"], newest["dims"]) != (model, dims):
         raise ValueError(f"the index was built for {newest['model']!r} with {newest['dims']} numbers, not {model!r} with {dims}")
-    return {n: spark.read.schema(s).parquet(f"{root}/{newest['version']}/{n}") for n, s in schemas.INDEX.items()}
+    at = f"{root}/{newest['version']}"
+    found = {n: spark.read.schema(s).parquet(f"{at}/{n}") for n, s in schemas.INDEX.items()}
+    if newest["packages"]:
+        found["packages"] = spark.read.schema(schemas.PACKAGES).parquet(f"{at}/packages")
+    return found
 
 
 def updated(index: dict[str, DataFrame], chunks: DataFrame, vectors: DataFrame, edges: DataFrame, files: DataFrame, deleted: DataFrame) -> dict[str, DataFrame]:

@@ -26,8 +26,11 @@ def whole_file(files: DataFrame) -> DataFrame:
     return files.select("file", (F.coalesce("n_lines", F.lit(1 << 30)) <= WHOLE_FILE_LINES).alias("whole"))
 
 
-def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: DataFrame, matched: DataFrame, hops: int = HOPS, max_expand: int = MAX_EXPAND) -> DataFrame:
-    """(pos, file, pkg, reason, score, whole, symbols): seeds and the best of what they are linked with."""
+def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: DataFrame, matched: DataFrame, hops: int = HOPS, max_expand: int = MAX_EXPAND, chunks: DataFrame | None = None) -> DataFrame:
+    """(pos, file, pkg, reason, score, whole, symbols): seeds and the best of what they are linked with.
+
+    A file without a package of its own has that of its `chunks`, if they are given and name one.
+    """
     seeds = cut(seeds.select("pos", "file"))
     grown = expand(seeds, edges, hops)
     candidates = seeds.select("file", F.lit(0).cast("long").alias("hop"), "pos", F.when(is_doc(F.col("file")), "doc").otherwise("query-match").alias("reason")).unionByName(grown.select("file", "hop", "pos", "reason"))
@@ -39,9 +42,17 @@ def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: Dat
     # Seeds and MAX_EXPAND files: a list of fixed length.
     placed = kept.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
     described = placed.join(files.select("file", F.col("pkg").alias("pkg"), "n_lines"), "file", "left").join(names, "file", "left")
+    if chunks is not None:
+        by_chunk = chunks.where("pkg is not null").select("file", F.col("pkg").alias("chunk_pkg")).join(placed.select("file"), "file", "left_semi").groupBy("file").agg(F.min("chunk_pkg").alias("chunk_pkg"))
+        described = described.join(by_chunk, "file", "left").withColumn("pkg", F.coalesce("pkg", "chunk_pkg"))
     return described.select("pos", "file", F.coalesce("pkg", F.lit("root")).alias("pkg"), "reason", "score", (F.coalesce("n_lines", F.lit(1 << 30)) <= WHOLE_FILE_LINES).alias("whole"), F.coalesce("symbols", F.lit("")).alias("symbols"))
 
 
+def entries_symbols(entries: DataFrame, matched: DataFrame) -> DataFrame:
+    """(pos, file, n, name, kind, start_line, end_line): the matched symbols of the entries."""
+    return entries.select("pos", "file").join(matched, "file").select("pos", "file", "n", "name", "kind", "start_line", "end_line")
+
+
 def render(entries: DataFrame) -> DataFrame:
     """(pos, line): the manifest as text lines."""
     line = F.concat(F.rpad("reason", 16, " "), F.lit(" "), F.format_string("%.3f", "score"), F.lit("  "), F.col("file"), F.when(F.col("whole"), "  (whole file)").otherwise(""))

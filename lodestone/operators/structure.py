@@ -18,15 +18,15 @@ def ancestors(path: Column) -> Column:
     return F.concat(F.array(F.lit(".")), above)
 
 
-def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """(file, owner): the package with the longest directory above each file; '.' owns the rest.
+def owners(files: DataFrame, packages: DataFrame, fallback: str | None = None) -> DataFrame:
+    """(file, owner): the package with the longest directory above each file; '.' owns the rest, without it `fallback`.
 
     The prefix join is an equi join on a file's directories: no comparison of all with all.
     """
     own = files.select("file").distinct().select("file", F.explode(ancestors(F.col("file"))).alias("dir"))
     near = own.join(packages.select("dir", "name"), "dir")
     best = near.groupBy("file").agg(F.min_by("name", F.struct((-F.when(F.col("dir") == ".", 0).otherwise(F.length("dir"))).alias("l"), "name")).alias("owner"))
-    return files.select("file").distinct().join(best, "file", "left").select("file", "owner")
+    return files.select("file").distinct().join(best, "file", "left").select("file", F.coalesce("owner", F.lit(fallback)).alias("owner"))
 
 
 def directories(files: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, vector
-from lodestone.functions.text import token_count, tokenize
-from lodestone.operators import edits, evaluation, fusion, graph, indexing, maintenance, search, structure
+from lodestone.functions.text import explode_tokens, token_count, tokenize
+from lodestone.operators import edits, evaluation, fusion, graph, indexing, maintenance, search, static_model, structure
 from lodestone.operators import manifest as man
 from lodestone.sources import views as V
 from lodestone.streaming import ingest
@@ -127,6 +127,15 @@ def l2_normalize(s, d):
     return n.select("ord", F.round(vector.norm(F.col("v")), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
+@query
+def static_embed(s, d):
+    """Vectors of the tasks, made of their tokens by a static model learned from the chunks."""
+    terms = search.query_terms(table(s, d, "eval_items").where("task is not null"), "task", "item_id")
+    post = V.chunks_now(s, d).select("ord", explode_tokens(F.col("text")).alias("term"))
+    v = static_model.embed(terms, "item_id", static_model.learn(post, V.vectors_now(s, d), V.DIMS, terms), V.DIMS)
+    return v.select("item_id", F.round(vector.norm(F.col("vector")), 5).alias("norm"), F.round(F.element_at("vector", 1), 5).alias("first"), F.round(F.element_at("vector", -1), 5).alias("last"))
+
+
 # Fusion and weights
 
 
@@ -305,6 +314,12 @@ def manifest(s, d):
     return manifest_of(s, d)
 
 
+@query
+def manifest_detail(s, d):
+    """The symbols matched in the manifest's files, with kind and lines."""
+    return man.entries_symbols(manifest_of(s, d), matched_symbols(s, d))
+
+
 @query
 def render_summary(s, d):
     return man.render(manifest_of(s, d))
@@ -423,7 +438,7 @@ def manifest_indexed(s, d):
     dense = cut(dense_indexed(s, d))
     lists = [search.ranked_files(dense), search.ranked_files(bm25_indexed(s, d)), symbol_search(s, d).select("file", "rank")]
     weighted = cut(fusion.weigh(fusion.rrf(lists), i["files"], package_weight(s, d)))
-    return man.manifest(weighted, fusion.seeds(weighted), i["edges"], i["files"], man.matched_symbols(dense, i["chunks"]))
+    return man.manifest(weighted, fusion.seeds(weighted), i["edges"], i["files"], man.matched_symbols(dense, i["chunks"]), chunks=i["chunks"])
 
 
 @query

@@ -187,6 +187,7 @@ STATEMENTS = {
     "cosine": f"SELECT ord, round({_DOT} / ({_NORM} * {_QNORM}), 6) AS cosine FROM vn, qv",
     "max_abs_diff": "SELECT ord, round(list_max(list_transform(list_zip(embedding::DOUBLE[], q::DOUBLE[]), lambda z: abs(z[1] - z[2]))), 6) AS diff FROM vn, qv",
     "l2_normalize": f"SELECT ord, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1], 6) AS first, round(v[-1], 6) AS last FROM (SELECT ord, list_transform(embedding::DOUBLE[], lambda x: x / ({_NORM} + 1e-32::DOUBLE)) AS v FROM vn)",
+    "static_embed": "SELECT item_id, round(sqrt(sum(u * u)), 5) AS norm, round(max(u) FILTER (WHERE i = 1), 5) AS first, round(max(u) FILTER (WHERE i = 64), 5) AS last FROM (SELECT item_id, i, c / (sqrt(sum(c * c) OVER (PARTITION BY item_id)) + 1e-32::DOUBLE) AS u FROM (SELECT item_id, i, sum(m * w) / sum(w) AS c FROM qb JOIN (SELECT term, i, avg(x::DOUBLE) AS m, 1 / (1 + ln(count(*)::DOUBLE)) AS w FROM (SELECT term, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM (SELECT DISTINCT ord, term FROM post WHERE term IN (SELECT term FROM qb)) o JOIN vn ON vn.ord = o.ord) GROUP BY term, i) l ON l.term = qb.term GROUP BY item_id, i)) GROUP BY item_id",
     "rrf_fusion": "SELECT file, score, list, rank FROM fu",
     "layer_hits": "SELECT role, hits FROM lh",
     "layer_hits_all": "SELECT roles.role, count(DISTINCT word) AS hits FROM roles LEFT JOIN (SELECT role, word FROM lw JOIN (SELECT DISTINCT term FROM qb) q ON term = word OR (length(word) >= 4 AND starts_with(term, word))) h ON h.role = roles.role GROUP BY roles.role",
@@ -216,6 +217,7 @@ STATEMENTS = {
     "matched_symbols": "SELECT file, n, name, kind, start_line, end_line FROM ms",
     "whole_file_flag": "SELECT file, coalesce(n_lines, 1000000) <= 50 AS whole FROM fn",
     "manifest": "SELECT pos, file, pkg, reason, score, whole, symbols FROM mn",
+    "manifest_detail": "SELECT mn.pos, mn.file, ms.n, ms.name, ms.kind, ms.start_line, ms.end_line FROM mn JOIN ms ON ms.file = mn.file",
     "render_summary": "SELECT pos, rpad(reason, 16, ' ') || ' ' || printf('%.3f', score) || '  ' || file || CASE WHEN whole THEN '  (whole file)' ELSE '' END AS line FROM mn",
     "glob_filter": f"SELECT DISTINCT file FROM files WHERE {_any('file', GLOBS)}",
     "scan_filter_owner": f"SELECT f.file, owner FROM (SELECT DISTINCT file FROM source_files WHERE {_TS} AND NOT {_any('file', EXCLUDED)}) f LEFT JOIN ow ON ow.file = f.file",
@@ -260,5 +262,5 @@ SELECT ord, file, score FROM bm WHERE score > 0 ORDER BY score DESC, ord LIMIT 8
 def oracle_sql() -> dict[str, str]:
     # A saved index keeps the latest delivery of a chunk alone.
     kept = PARTS["dk"].replace("JOIN chunks ON chunks.ord", "JOIN cn AS chunks ON chunks.ord")
-    indexed = {"dense_indexed": _with(STATEMENTS["dense_topk"], dk=kept), "manifest_indexed": _with(STATEMENTS["manifest"], dk=kept)}
+    indexed = {"dense_indexed": _with(STATEMENTS["dense_topk"], dk=kept), "manifest_indexed": _with(STATEMENTS["manifest"], dk=kept, mn=PARTS["mn"].replace("coalesce(fn.pkg, 'root')", "coalesce(fn.pkg, (SELECT min(pkg) FROM cn WHERE cn.file = kp.file), 'root')"))}
     return {name: _with(text) for name, text in STATEMENTS.items()} | indexed | {"bm25_documents": _DOCS}

@@ -14,7 +14,8 @@ POSTINGS = _s(("ord", L), ("term", S), ("tf", L), ("shard", I))
 DOCLEN = _s(("ord", L), ("file", S), ("len", L))
 DF = _s(("term", S), ("n", L))
 STATS = _s(("n_docs", L), ("avgdl", D))
-VERSIONS = _s(("number", L), ("version", S), ("model", S), ("dims", L))
+VERSIONS = _s(("number", L), ("version", S), ("model", S), ("dims", L), ("packages", B))
+PACKAGES = _s(("name", S), ("dir", S), ("role", S))
 EDGES = _s(("src", S), ("dst", S))
 FILES = _s(("file", S), ("pkg", S), ("mtime_ms", D), ("n_lines", I), ("is_doc", B))
 VECTORS = _s(("ord", L), ("embedding", T.ArrayType(T.FloatType())))
