@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from lodestone.tables import ensure_checkpoint_dir
 
-#: Coarse hashing, which says where rows are sent: tables, axes of the rotated space, probes of a query. Two for each axis, so 16 buckets a table.
-TABLES, AXES, PROBES = 8, 8, 2
+#: Coarse hashing, which says where rows are sent: tables, axes of the rotated space, probes of a query. Two for each axis, so 4 buckets a table.
+TABLES, AXES, PROBES = 4, 2, 2
 #: Fine hashing, which says what rows of a bucket are compared: tables of rotations of its own for every bucket's table, all axes, probes of a query.
-FINE, FINE_PROBES = 4, 5
+FINE, FINE_PROBES = 6, 2
 #: A bucket of so few rows is compared whole.
 LEAST = 256
 #: Rows of a bucket above which it is split into blocks; queries are split as well, and every block of queries meets every block of rows.
 BLOCK = 65_536
-#: Similarities computed at once, and candidates compared exactly at once (a single query may have more).
-CELLS, PAIRS = 4_000_000, 200_000
+#: Queries of a block searched at once, similarities computed at once, and candidates compared exactly at once: what a task holds beside its block.
+QUERIES, CELLS, PAIRS = 8_192, 2_000_000, 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -83,23 +83,28 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.nd
     none of those, or in a block of LEAST rows, every row is one.
     """
     x = x[(order := np.argsort(x_id, kind="stable"))]
-    x_id = x_id[order]
+    x_id, x32 = x_id[order], x.astype(np.float32)
+    # Rows of each table by their cell, and where each cell begins.
+    tables = []
+    for f in range(0 if len(x) <= LEAST else fine):
+        cell = buckets(x32, TABLES + table * fine + f, 1, x.shape[1], 1)[:, 0, 0]
+        by_cell = np.argsort(cell, kind="stable")
+        tables.append((TABLES + table * fine + f, by_cell, np.searchsorted(cell[by_cell], np.arange(2 * x32.shape[1] + 1))))
+    parts = [_of_queries(q_id[a : a + QUERIES], q[a : a + QUERIES], x_id, x, x32, tables, k, probes) for a in range(0, len(q), QUERIES)]
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _of_queries(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, x32: np.ndarray, tables: list, k: int, probes: int):
     dims, keep = x.shape[1], min(k + 1, len(x))  # the query itself may be among them
-    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    q32 = q.astype(np.float32)
     # What float32 and the rounding to 6 decimals can hide: no row within it of the keep-th best is left out.
     close = np.float32(2e-6 + 2 * dims * np.finfo(np.float32).eps)
     bound = np.full(len(q), -np.inf, dtype=np.float32)
-    whole, kept = fine == 0 or len(x) <= LEAST, []
-    for f in range(1 if whole else fine):
-        if whole:
-            row_cell, cell, asker = np.zeros(len(x), dtype=np.int64), np.zeros(len(q), dtype=np.int64), np.arange(len(q))
-        else:
-            number = TABLES + table * fine + f
-            row_cell, cell = buckets(x32, number, 1, dims, 1)[:, 0, 0], buckets(q32, number, 1, dims, probes)[:, 0].ravel()
-            asker = np.repeat(np.arange(len(q)), len(cell) // len(q))
-        by_row, by_cell = np.argsort(row_cell, kind="stable"), np.argsort(cell, kind="stable")
-        cells = np.arange(row_cell.max() + 2)
-        row_at, ask_at = np.searchsorted(row_cell[by_row], cells), np.searchsorted(cell[by_cell], cells)
+    kept = []
+    for number, by_row, row_at in tables or [(None, np.arange(len(x)), np.array([0, len(x)]))]:
+        cell = np.zeros(len(q), dtype=np.int64) if number is None else buckets(q32, number, 1, dims, probes)[:, 0].ravel()
+        asker, by_cell = np.repeat(np.arange(len(q)), len(cell) // len(q)), np.argsort(cell, kind="stable")
+        ask_at = np.searchsorted(cell[by_cell], np.arange(len(row_at)))
         found = []
         for c in np.flatnonzero((np.diff(row_at) > 0) & (np.diff(ask_at) > 0)):
             rows, asked = by_row[row_at[c] : row_at[c + 1]], asker[by_cell[ask_at[c] : ask_at[c + 1]]]
@@ -112,8 +117,8 @@ def nearest_in_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.nd
     row, col, sim = map(np.concatenate, zip(*kept))
     good = sim >= bound[row]
     # A row can be found in several tables.
-    pair = np.unique(row[good] * np.int64(len(x)) + col[good])
-    row, col = pair // len(x), pair % len(x)
+    pair = np.sort(row[good] * np.int64(len(x)) + col[good])
+    row, col = np.divmod(pair[np.append(True, pair[1:] != pair[:-1])], len(x))
     parts = [np.round(np.einsum("ij,ij->i", q[row[a : a + PAIRS]], x[col[a : a + PAIRS]]), 6) for a in range(0, len(row), PAIRS)]
     exact = np.concatenate([*parts, np.empty(0)])
     other = x_id[col] != q_id[row]
@@ -131,10 +136,10 @@ def _likely(q: np.ndarray, x: np.ndarray, asked: np.ndarray, rows: np.ndarray, b
     if len(rows) >= keep:
         # In wide cells the best of each group of columns give a bound that spares a full selection.
         width = max(1, len(rows) // max(128, 4 * keep))
-        groups = sims if width == 1 else sims[:, : len(rows) // width * width].reshape(len(asked), -1, width).max(axis=2)
+        groups = sims if width == 1 else sims[:, : len(rows) // width * width].reshape(len(asked), width, -1).max(axis=1)
         least = np.maximum(least, np.partition(groups, -keep, axis=1)[:, -keep] - close)
         bound[asked] = least  # a query asks a cell once
-    i, j = np.nonzero(sims >= least[:, None])
+    i, j = np.divmod(np.flatnonzero(sims >= least[:, None]), len(rows))
     return asked[i], rows[j], sims[i, j]
 
 
