@@ -2,242 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
+from lodestone.functions.code import blanked, comment_runs, declarations, line_starts
 
-# One pass over a text: comments, strings, templates and regular expressions, so that what
-# is inside them is never taken for code. A regular expression only stands where a value may.
-_TOKEN = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-    r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
-    r"|(?P<template>`)"
-    r"|(?P<regex>(?:(?<=[=(,:;!&|?\[{}>+~\n])|(?<=[=(,:;!&|?\[{}>+~] )|(?<=return )|(?<=case ))/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)",
-    re.S,
-)
-_TEMPLATE_STEP = re.compile(r"\\.|`|\$\{", re.S)
-_CODE_STEP = re.compile(r"[{}`]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*.*?\*/", re.S)
-_NOT_NEWLINE = re.compile(r"[^\n]")
-_BRACKET = re.compile(r"[(){}\[\]]")
 
-_NAME = r"[A-Za-z_$\u00c0-\uffff][\w$]*"
-_FUNCTION = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>{_NAME})\s*[<(]")
-_CONST = re.compile(rf"(?:export\s+)?(?:declare\s+)?const\s+(?P<name>{_NAME})\s*(?P<rest>[:=])")
-_CLASS = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+(?P<name>{_NAME})")
-_MODIFIER = re.compile(r"(?:(?:public|private|protected|static|abstract|override|readonly|async|declare)\s+)*")
-_METHOD = re.compile(rf"\*?\s*(?P<name>\#?{_NAME}|\[[^\]\n]+\]|\"[^\"\n]*\"|'[^'\n]*')\s*[?!]?\s*(?P<open>[<(])")
-_ACCESSOR = re.compile(rf"(?:get|set)\s+(?:\#?{_NAME}|\[)")
-_VALUE = re.compile(rf"(?:async\s+)?(?:function\b|<[^=]|\(|{_NAME}\s*=>)")
-_NO_METHOD = {"if", "for", "while", "switch", "catch", "return", "function", "constructor", "new", "throw", "typeof", "await", "super", "import", "with", "do", "else", "delete", "void", "yield"}
-
-
-def _template_end(text: str, at: int) -> int:
-    """End of the template that opens before `at`; its slots may hold code and templates again."""
-    depth = 0  # open braces of the slot around
-    while True:
-        m = (_CODE_STEP if depth else _TEMPLATE_STEP).search(text, at)
-        if m is None:
-            return len(text)
-        at, c = m.end(), m.group()
-        if depth:
-            if c == "`":
-                at = _template_end(text, at)
-            else:
-                depth += {"{": 1, "}": -1}.get(c, 0)
-        elif c == "`":
-            return at
-        elif c == "${":
-            depth = 1
-
-
-def blanked(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """The text with comments and literals blanked (same length, same lines), and the spans of the comments."""
-    parts, comments, at = [], [], 0
-    search = _TOKEN.search
-    while (m := search(text, at)) is not None:
-        start, end, kind = m.start(), m.end(), m.lastgroup
-        parts.append(text[at:start])
-        if kind == "template":
-            end = _template_end(text, end)
-        elif kind == "comment":
-            comments.append((start, end))
-        body = text[start:end]
-        fill = " " if kind == "comment" else "0"
-        parts.append(fill * (end - start) if "\n" not in body else _NOT_NEWLINE.sub(fill, body))
-        at = end
-    parts.append(text[at:])
-    return "".join(parts), comments
-
-
-def comment_runs(text: str, code: str, comments: list[tuple[int, int]], line_starts: list[int]) -> list[tuple[int, int, str]]:
-    """Runs of comments that stand alone on adjacent lines: (first line, last line, text)."""
-    runs: list[tuple[int, int, str]] = []
-    for start, end in comments:
-        first = bisect_right(line_starts, start) - 1
-        last = bisect_right(line_starts, max(start, end - 1)) - 1
-        after = code.find("\n", end)
-        after = len(code) if after < 0 else after
-        if code[line_starts[first] : start].strip() or code[end:after].strip():
-            continue
-        body = text[start:end]
-        if runs and runs[-1][1] >= first - 1:
-            runs[-1] = (runs[-1][0], last, runs[-1][2] + "\n" + body)
-        else:
-            runs.append((first, last, body))
-    return runs
-
-
-def functions(code: str, line_starts: list[int]) -> list[tuple[str, int, int]]:
-    """(name, first line, last line) of top-level functions, constants with a function value, and methods of top-level classes.
+def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, int, int]]]:
+    """(comment runs, functions) of a text as (first line, last line, text) and (name, first line, last line); lines count from 0.
 
-    Only the first declaration of a name counts; decorators belong to it.
+    Functions are top-level functions, constants with a function value, and methods of
+    top-level classes. Runs are comments that stand alone on adjacent lines.
     """
-    lines = code.split("\n")
-    found: dict[str, list[int]] = {}
-    depth, owner, owner_depth, decorator, statement = 0, None, 0, None, True
-    current: str | None = None
-    for number, line in enumerate(lines):
-        body = line.strip()
-        if not body:
-            continue
-        begins = statement and depth in (0, owner_depth if owner else 0)
-        here = depth
-        name = None
-        if begins:
-            if body[0] == "@" and (depth == 0 or owner):
-                decorator = number if decorator is None else decorator
-            if depth == 0:
-                if m := _FUNCTION.match(body):
-                    name = m["name"]
-                elif m := _CONST.match(body):
-                    if _has_function_value(lines, number, line.index(body) + m.start("rest")):
-                        name = m["name"]
-            elif owner:
-                rest = body[_MODIFIER.match(body).end() :]
-                if not _ACCESSOR.match(rest) and (m := _METHOD.match(rest)) and m["name"] not in _NO_METHOD:
-                    name = f"{owner}.{m['name']}"
-        opened = _CLASS.match(body) if begins and depth == 0 else None
-        closes_owner = False
-        for b in _BRACKET.findall(body):
-            depth += 1 if b in "({[" else -1
-            if owner and depth < owner_depth:
-                closes_owner = True
-        depth = max(depth, 0)
-        if opened:
-            pending = opened["name"]
-            owner, owner_depth = pending, here + 1
-        if name is not None:
-            if name not in found:
-                found[name] = [decorator if decorator is not None else number, number]
-            current = name
-        if current is not None:
-            if found[current][1] <= number:
-                found[current][1] = number
-            if depth <= (owner_depth if "." in current and owner else 0) and body[-1] in "};)":
-                current = None
-        if begins and body[0] != "@":
-            decorator = None
-        if closes_owner and depth == 0 and not opened:
-            owner = None
-        # A statement ends where the depth is that of the top or of the class, unless the line goes on.
-        level = depth == 0 or (owner is not None and depth == owner_depth)
-        statement = level and (body[-1] in ";{}" or body[0] == "@" or not _goes_on(body))
-        if owner is not None and depth == owner_depth and body[-1] == "{":
-            statement = True
-    return [(n, a, b) for n, (a, b) in found.items()]
-
-
-_GOES_ON = re.compile(r"(?:[=,:?&|+\-*<>.]|=>|\b(?:extends|implements|async|function|const|export|default))$")
-
-
-def _goes_on(body: str) -> bool:
-    return _GOES_ON.search(body) is not None
-
-
-_DECLARES = re.compile(r"(?:export|import|declare|const|let|var|function|class|interface|type|enum|namespace|abstract)\b|@")
-
-
-def _has_function_value(lines: list[str], number: int, at: int) -> bool:
-    """Whether the constant's value (after its type, over some lines) is a function, not a call of one."""
-    rest = lines[number][at:]
-    depth, line = 0, number
-    if rest[0] == ":":  # skip the type, to the = that is not part of =>
-        k = 1
-        while True:
-            if k >= len(rest):
-                line += 1
-                if line >= len(lines) or (depth <= 0 and _DECLARES.match(lines[line].strip())):
-                    return False
-                rest, k = lines[line], 0
-                continue
-            c = rest[k]
-            if c in "({[":
-                depth += 1
-            elif c in ")}]":
-                depth -= 1
-            elif c == "=" and depth <= 0 and rest[k + 1 : k + 2] != ">":
-                break
-            elif c == ";" and depth <= 0:
-                return False
-            k += 1
-        rest = rest[k:]
-    value = rest[1:].strip()
-    while not value:
-        line += 1
-        if line >= len(lines):
-            return False
-        value = lines[line].strip()
-    m = _VALUE.match(value)
-    if m is None:
-        return False
-    if "function" in m.group() or m.group().endswith("=>"):
-        return True
-    return _is_arrow(lines, line, value)
-
-
-def _is_arrow(lines: list[str], line: int, text: str) -> bool:
-    """Whether parentheses from `text` on are parameters: => follows (perhaps after a type); anything else is an expression."""
-    depth, begun, closed, typed = 0, False, False, False
-    while True:
-        for j, c in enumerate(text):
-            if not begun:  # type parameters
-                if c == "(" and depth == 0:
-                    begun, depth = True, 1
-                elif c == ";" and depth == 0:
-                    return False
-                else:
-                    depth += (c in "{[") - (c in "}]")
-            elif not closed:
-                depth += (c == "(") - (c == ")")
-                closed = depth == 0
-            elif not typed:
-                if c == ":":
-                    typed = True
-                elif not c.isspace():
-                    return text.startswith("=>", j)
-            elif depth == 0 and text.startswith("=>", j):
-                return True
-            elif c in "({[":
-                depth += 1
-            elif c in ")}]":
-                depth -= 1
-                if depth < 0:
-                    return False
-            elif c == ";" and depth == 0:
-                return False
-        line += 1
-        if line >= len(lines):
-            return False
-        text = lines[line]
-
-
-def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[str, int, int]]]:
-    """(comment runs, functions) of a text; lines count from 0."""
     text = text.replace("\r\n", "\n")
     code, comments = blanked(text)
-    starts = [0]
-    find = text.find
-    at = find("\n")
-    while at >= 0:
-        starts.append(at + 1)
-        at = find("\n", at + 1)
-    return comment_runs(text, code, comments, starts), functions(code, starts)
+    found = [(d.name, d.first, d.last) for d in declarations(code) if d.kind in ("function", "method") and d.form in ("", "const")]
+    return comment_runs(text, code, comments, line_starts(text)), found

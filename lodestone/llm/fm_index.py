@@ -70,12 +70,14 @@ def suffix_order(text: np.ndarray, sigma: int) -> np.ndarray:
 class FMIndex:
     """Index of a sequence of symbols (1..sigma-1; 0 separates texts).
 
-    Every `sample`-th text position is kept; others are found by stepping back to one.
+    Every `sample`-th text position is kept; others are found by stepping back to one. The
+    sequence ends with a symbol of its own, below the separators: with one more separator
+    there, steps back over separators would lead to a wrong text. So symbols count from 1 here.
     """
 
     def __init__(self, symbols: np.ndarray, sigma: int, sample: int = 8):
-        text = np.concatenate([symbols, [0]]).astype(np.int64)
-        n = len(text)
+        text = np.concatenate([symbols + 1, [0]]).astype(np.int64)
+        n, sigma = len(text), sigma + 1
         order = suffix_order(text, sigma)
         self.sigma, self.n = sigma, n
         bwt = text[order - 1]
@@ -89,7 +91,7 @@ class FMIndex:
         """Suffix ranges [low, high) of phrases (rows of equal length), all searched at once."""
         low, high = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
         for column in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[:, column]
+            symbol = phrases[:, column] + 1
             low, high = self.before[symbol] + self.tree.rank(symbol, low), self.before[symbol] + self.tree.rank(symbol, high)
         return low, np.maximum(low, high)
 

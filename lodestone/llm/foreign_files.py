@@ -115,11 +115,18 @@ def directory_hashes(files: DataFrame, file_col: str, content_col: str) -> DataF
 
 
 def shared_directories(files: DataFrame, file_col: str, content_col: str, root_depth: int = 2) -> DataFrame:
-    """Directories (dir) whose whole subtree also stands under another root (the first `root_depth` path segments)."""
+    """Directories (dir) whose whole subtree also stands under another root (the first `root_depth` path segments), the origin left out.
+
+    The origin is the copy that lies least deep, the first by path of several: what a
+    workspace shares stays hand-written in one place. Vendored code that has no origin in the
+    workspace loses all but one copy by this, and that one by its path, package or header.
+    """
     dirs = directory_hashes(files, file_col, content_col).where((F.col("files") >= SUBTREE_FILES) & (F.col("chars") >= SUBTREE_CHARS))
-    dirs = dirs.withColumn("root", F.substring_index("dir", "/", root_depth))
-    shared = dirs.groupBy("h1", "h2").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h1", "h2")
-    return dirs.join(shared, ["h1", "h2"], "left_semi").select("dir").distinct()
+    dirs = dirs.withColumns({"root": F.substring_index("dir", "/", root_depth), "depth": F.size(F.split("dir", "/"))})
+    # One row for each hash, combined before the shuffle: a subtree that a third of all roots have is no hot group.
+    shared = dirs.groupBy("h1", "h2").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min(F.struct("depth", "dir")).alias("_first")).where("_a < _b").select("h1", "h2", F.col("_first.dir").alias("_origin"))
+    copies = dirs.join(shared, ["h1", "h2"]).where("dir <> _origin").select("dir").distinct()
+    return copies
 
 
 def _ancestors(path_col: str):
@@ -135,7 +142,8 @@ def foreign_files(files: DataFrame, packages: DataFrame | None = None, file_col:
     a file has a row for each finding. Paths and packages decide without the content. A
     package is foreign if its name lacks the scope (`@scope/`) that most packages of the
     workspace have and its role is no `docs`; null and padded packages are told by the
-    directory. Subtrees with equal Merkle hashes under different roots are vendored.
+    directory. Of subtrees with equal Merkle hashes under different roots all but the origin
+    (the least deep, then the first by path) are vendored.
     Contents are judged by the comments they open with and by their layout, one file at a
     time, so that code about generators or with such words in strings stays.
 

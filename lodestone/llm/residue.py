@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import residue_phrases as P
 
-#: A sentence is residue if phrases cover this share of its letters.
+#: A sentence is residue if phrases cover this share of its letters, general words beside them not counted.
 COVERAGE = 0.5
 #: A text is left out as a whole if residue covers this share of its letters.
 EXCLUDE = 0.3
@@ -27,6 +27,9 @@ _TAG = re.compile(r"<[^<>\n]+>")
 _SENTENCE = re.compile(r"(?<=[.!?;…])[\"')\]]*\s+|\n")
 _QUOTE = re.compile(r"\n[ \t]*>[ \t]?")
 _ODD = re.compile(r"[\d/]|[^\x00-\x7f]")
+_VALUE = re.compile(r'"[^"\s]*[\d/][^"\s]*"')
+_LETTERS = re.compile(r"[^\W\d_]+")
+_GENERAL = frozenset(f"{P.SMALL} {P.PAGE}".split())
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _CODE_LINE = re.compile(
     r"^\s*(?:import\b.*from|export\b|(?:async\s+)?function\b|const\b|let\b|var\b|class\b|interface\b|type\s+\w+\s*=|return\b|if\s*\(|for\s*\(|while\s*\(|switch\s*\(|case\b|try\b|throw\b|await\b|//|/\*|[}\])]+[;,)]*\s*$)|[;{]\s*$|=>|^\s*[\w$.]+\([^)]*\)?[;,]?$"
@@ -39,9 +42,9 @@ def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, text in [*P.STRONG.items(), ("weak", P.WEAK)]:
+    for kind, text in P.STRONG.items():
         for phrase in re.split(r"[|\n]", text):
-            if (phrase := phrase.strip()) and (kind != "weak" or phrase not in found):
+            if phrase := phrase.strip():
                 found.add_word(phrase, (len(phrase), kind))
     for word in f"{P.LATIN} {P.MASH}".split():
         if word not in found:
@@ -76,10 +79,10 @@ def _letters(text: str) -> int:
 
 
 def _sentence_kind(sentence: str) -> str | None:
-    """The kind of residue that covers most of a sentence, or None."""
+    """The kind of residue that covers most of what a sentence says, or None."""
     plain = _TAG.sub(" ", sentence).lower()
     # Numbers, ids and paths say nothing about the kind of text.
-    plain = " ".join(plain.split() if not _ODD.search(plain) else (w for w in plain.split() if '"' in w or not (any(c.isdigit() for c in w) and not w.isdigit()) and "/" not in w))
+    plain = " ".join(plain.split() if not _ODD.search(plain) else (w for w in _VALUE.sub(" ", plain).split() if not (any(c.isdigit() for c in w) and not w.isdigit()) and "/" not in w))
     spans, kinds, filler = [], set(), 0
     for end, (length, kind) in _automaton().iter(plain):
         start = end + 1 - length
@@ -88,16 +91,19 @@ def _sentence_kind(sentence: str) -> str | None:
         spans.append((start, end + 1))
         if kind == "word":
             filler += 1
-        elif kind != "weak":
+        else:
             kinds.add(kind)
     if not kinds and filler < FILLER_WORDS:
         return None
-    total, covered, upto = _letters(plain), 0, 0
+    covered, upto, rest = 0, 0, []
     for start, end in sorted(spans):
         if end > upto:
+            rest.append(plain[upto:start] if start > upto else "")
             covered += _letters(plain[max(start, upto) : end])
             upto = end
-    if total == 0 or covered < COVERAGE * total:
+    rest.append(plain[upto:])
+    content = sum(len(w) for w in _LETTERS.findall(" ".join(rest)) if w not in _GENERAL)
+    if covered == 0 or covered < COVERAGE * (covered + content):
         return None
     return min(kinds) if kinds else "filler"
 

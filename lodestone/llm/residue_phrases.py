@@ -1,9 +1,9 @@
 """Phrases of pages and notices that stand where content should be.
 
 STRONG phrases each mark an error, login, waiting or maintenance page, a demand for
-scripts, an empty-page notice or filler text. WEAK ones are what such pages are padded
-with; they only count towards coverage beside a strong phrase. LATIN and MASH words are
-filler only in number. All are lower-case, without accents being folded.
+scripts, an empty-page notice or filler text. SMALL and PAGE words beside them neither
+cover a sentence nor count as its content. LATIN and MASH words are filler only in number.
+All are lower-case, without accents being folded.
 """
 
 STRONG = {
@@ -13,7 +13,7 @@ STRONG = {
         connection reset|disconnect before headers|before the response was complete|reset reason|unhandled exception|application error|server-side exception|could not render
         something went wrong|this should not have happened|that did not work|we hit a snag|an error occurred|an unexpected error|error while loading|nosuchkey|accessdenied|not_found
         cannot be shown|could not be found|cannot be found|is not available|has been deleted|has been removed|no longer exists|does not exist|could not be loaded|failed to load|does not work without
-        this file is too large|ask an owner for access|membership in this group|request access below|you cannot view this|you do not have access|you don't have permission|http 4|http 5|gone
+        this file is too large|request access|you cannot view this|you do not have access|you don't have permission|http 4|http 5|gone
         service_unavailable|internal_server_error|bad_gateway|too_many_requests|did not answer in time|quota exceeded|limit exceeded|slowdown|has been moved|moved or removed|timed out|request timeout|internal_error|rate_limited
         acesso negado|página não encontrada|pagina nao encontrada|não foi encontrada|não foi encontrado|ocorreu um erro|erro inesperado|erro interno|não está disponível|algo deu errado|não foi possível carregar
         acceso denegado|página no encontrada|no se pudo cargar|se produjo un error|ha ocurrido un error|error interno|que busca no existe|no está disponible|algo salió mal|no encontrada
@@ -51,17 +51,22 @@ STRONG = {
     """,
 }
 
-WEAK = """
-    you requested|you asked for|you are looking for|behind this link|the page|the file|the document|the address|the branch|the content below|the index service|on our side|our side|this page|this file|this app|this document|this site|this viewer|this place|this text|in this place
-    try again|try another browser|try again later|in a few minutes|a few minutes|minutes|seconds|and reload|reload the page|reload|go back|go back to|start page|to the start page|or tell|the team|team|give it another go|wait|then try again|update it to see
-    see the server log|server log for details|for details|digest|code|request|trace id|trace|ray|reference|request id|oops|whoops|uh-oh|hmm|sorry|thank you for your patience|please|your patience
-    home|docs|sign in|sign up|log in|skip to content|menu|browse files|help centre|help center|contact|to continue|to go on|to read on|to run|to view|to see|the file tree|in your browser|your browser|browser|by an extension|extension
-    javascript|scripts|cookies|the app|cannot start|must be allowed|allowed|allow|needed|to show|to open|explorer|is needed|for this|parts of|are hidden|hidden|please check your settings|check your settings|your settings|the code view|cannot be drawn|the documentation
-    with a short summary|short summary of|of your|your package|your module|package|module|tell readers|what the project does|the project|does|when done|at any time|here|about your|while loading|while rendering|from your network|your network|safe|connection
-    "status"|"error"|"errors"|"message"|"code"|"detail"|"path"|"trace"|"ok"|false|"documentation"|resource|error|status|message|version|upstream|the upstream server|server|build failed|edge|access|recurso|a este recurso|this resource|page|exception|has occurred|utc|headers
-    tente novamente|tente mais tarde|mais tarde|tente recarregar|volte ao início|ou tente|protocolo|seu navegador|o seu navegador|nesta página|desta página|os scripts|este visualizador|a página solicitada|solicitada|erro|conteúdo do seu pacote|seu pacote|a descrição do módulo|do módulo|pelo conteúdo|página|este parágrafo|este aviso
-    vuelva a intentarlo|intentarlo más tarde|más tarde|regrese al inicio|y recargue|recargue|del navegador|referencia|la página solicitada|la página|que busca|en el servidor|servidor|esta página|para ver|por la descripción|del paquete|este párrafo|es necesario|los scripts
-    bitte|später erneut versuchen|erneut versuchen|später|zurzeit|die angeforderte seite|angeforderte seite|die seite|seite|vorgang|fehler|um den inhalt anzuzeigen|inhalt anzuzeigen|den inhalt|diese ansicht|ansicht|diese seite|ein|durch|eigenen inhalt
+# Words that say nothing of what a sentence is about: articles, prepositions, pronouns and auxiliary verbs.
+SMALL = """
+    a an the this that these those it its is are was were be been being am has have had do does did can could cannot will would may might must should shall to of in on at for from with by as or and but if then than not no yes you your yours we our us i me my he she they them their there here what which who when where while why how again later now so up out off over back into about under between any some all more please just only too also very
+    o os um uma e ou de do da dos das em no na nos nas por para com sem que se não é são foi está esta este isto seu sua você ao à mais já tente
+    el la los las un unos unas y en del al por con sin lo su sus es son está están fue ha este esta esto se si no que más vuelva a para le
+    der die das ein eine einen einer eines dem den des und oder in im an am auf aus bei mit nach von vor zu zum zur für über ist sind war wird werden hat nicht kein keine sie ihr ihre wir uns um es noch bitte
+"""
+
+# Words of pages, programs and files in general: what a notice speaks of, whatever it says.
+PAGE = """
+    page pages site website web app application browser server client file files folder document documents documentation docs content text link links address url path resource request requests response message messages status code codes error errors detail details trace id reference digest version upstream host network connection gateway edge cache log logs
+    home menu start help centre center contact support team account user owner group access settings extension plugin cookies cookie javascript script scripts view viewer explorer editor code build
+    package module project section paragraph title description summary template readers reader
+    minute minutes second seconds moment time day reload refresh retry try go return open read run show see view load loading render rendering sign log wait thank patience sorry oops whoops hmm true false ok null
+    página pagina arquivo documento conteúdo conteudo erro servidor navegador visualizador recurso módulo pacote descrição parágrafo aviso início contenido archivo referencia paquete módulo descripción párrafo navegador inicio recargue solicitada
+    seite inhalt inhalts fehler vorgang ansicht angeforderte später erneut versuchen datei dokument paket modul anzuzeigen zurzeit
 """
 
 LATIN = """

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Units on either side of a gap whose words are compared, and the width of their hashed word vectors.
 BLOCK, WIDTH = 4, 256
+#: Units compared at once.
+SLICE = 2_000
 #: A line longer than this is cut into sentences, and those at spaces, to have boundaries inside it.
 UNIT = 240
 #: What a boundary adds to the depth of its valley: an empty line or heading, a line end, a sentence end, a space, none.
@@ -51,19 +53,31 @@ def _units(text: str) -> tuple[list[int], list[str]]:
     return ends, kinds
 
 
-def _depths(text: str, ends: list[int], kinds: list[str]) -> np.ndarray:
-    """Depth of the similarity valley at each unit's end, with the boundary's own strength."""
-    n, begin, keys = len(ends), 0, []
-    for u, end in enumerate(ends):
-        keys += [u * WIDTH + _slot(w) for w in _WORD.findall(text[begin:end].lower())]
-        begin = end
+def _similarities(units: list[str]) -> np.ndarray:
+    """Cosine of the words of up to BLOCK units before and behind the end of each unit."""
+    n = len(units)
+    keys = [u * WIDTH + _slot(w) for u, unit in enumerate(units) for w in _WORD.findall(unit.lower())]
     bags = np.bincount(keys, minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float64)
     upto = np.vstack([np.zeros(WIDTH), np.cumsum(bags, axis=0)])
     gap = np.arange(1, n + 1)
     left = upto[gap] - upto[np.maximum(gap - BLOCK, 0)]
     right = upto[np.minimum(gap + BLOCK, n)] - upto[gap]
     norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    similar = np.einsum("ij,ij->i", left, right) / np.where(norm == 0, 1, norm)
+    return np.einsum("ij,ij->i", left, right) / np.where(norm == 0, 1, norm)
+
+
+def _depths(text: str, ends: list[int], kinds: list[str]) -> np.ndarray:
+    """Depth of the similarity valley at each unit's end, with the boundary's own strength.
+
+    SLICE units are compared at once, with their neighbours on both sides, so that a long text
+    takes no more memory than a short one.
+    """
+    n, begins = len(ends), [0, *ends[:-1]]
+    similar = np.empty(n)
+    for at in range(0, n, SLICE):
+        low, high = max(0, at - BLOCK), min(n, at + SLICE + BLOCK)
+        found = _similarities([text[begins[u] : ends[u]] for u in range(low, high)])
+        similar[at : at + SLICE] = found[at - low : at - low + SLICE]
     # The peaks around a gap: the highest similarity within a block's reach on each side.
     padded = np.pad(similar, BLOCK, mode="edge")
     around = np.lib.stride_tricks.sliding_window_view(padded, BLOCK + 1)

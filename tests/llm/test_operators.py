@@ -102,6 +102,10 @@ def test_declarations():
         ("pauseArchive", "// Não convém refazer o lote: o limite soma o menu fixo.", True),
         ("f", "/**\n * Our chapter drained the nested policy, although `x` had trimmed it\n * quickly.\n * @param a\n */", True),
         ("f", "// eslint-disable-next-line\n// Rotates both wheels at once.", True),
+        ("f", "/** 按房间号返回所有未锁的门。 */", True),
+        ("f", "/** 説明なし */", False),
+        ("f", "/** 待补充 */", False),
+        ("f", "/** 函数 */", False),
     ],
 )
 def test_says_something(name, comment, telling):
@@ -133,19 +137,23 @@ def test_content_kind(text, kind):
     assert content_kind(text) == kind
 
 
+def test_headers_behind_long_imports():
+    assert content_kind("import {\n" + "  name,\n" * 600 + '} from "x";\n// @generated by tool 1.2\nconst a = 1;\n') == "generated"
+
+
 def test_foreign_files(spark):
     body = "export function f() {\n  return 1;\n}\n" * 40
     rows = [
         ("apps/a/node_modules/x/i.js", "p", "f();"), ("apps/a/src/generators/g.ts", "p", body), ("apps/a/src/x.min.js", "p", body), ("apps/a/dist/README.md", "p", "# x"),
-        ("apps/a/src/lib/one.ts", "p", body), ("apps/a/src/lib/two.ts", "p", body + "//2"), ("apps/b/src/copy/one.ts", "q", body), ("apps/b/src/copy/two.ts", "q", body + "//2"),
+        ("apps/a/src/lib/one.ts", "p", body), ("apps/a/src/lib/two.ts", "p", body + "//2"), ("apps/b/src/lib/copy/one.ts", "q", body), ("apps/b/src/lib/copy/two.ts", "q", body + "//2"),
         ("apps/b/src/own.ts", " q ", body + "//3"), ("forked/x/y.ts", None, "f();"), ("apps/b/src/z.ts", "fork", "f();"), (None, None, None), ("apps/b/src/n.ts", None, None), ("apps/b/src/n.ts", None, None),
     ]
     files = spark.createDataFrame(rows, "file string, pkg string, content string").withColumn("kind", F.lit(1)).withColumn("dir", F.lit("d"))
     packages = spark.createDataFrame([("@s/a", "apps/a", "backend"), ("@s/b", "apps/b", None), ("@s/c", "c", None), ("fork", "forked/x", None), ("docs", "docs", " Docs ")], "name string, dir string, role string")
     got = {r["file"]: r["why"] for r in foreign_files(files, packages).collect()}
     assert got == {
-        "apps/a/node_modules/x/i.js": "path", "apps/a/src/x.min.js": "path", "apps/a/src/lib/one.ts": "subtree", "apps/a/src/lib/two.ts": "subtree",
-        "apps/b/src/copy/one.ts": "subtree", "apps/b/src/copy/two.ts": "subtree", "forked/x/y.ts": "package", "apps/b/src/z.ts": "package",
+        "apps/a/node_modules/x/i.js": "path", "apps/a/src/x.min.js": "path", 
+        "apps/b/src/lib/copy/one.ts": "subtree", "apps/b/src/lib/copy/two.ts": "subtree", "forked/x/y.ts": "package", "apps/b/src/z.ts": "package",
     }
     assert foreign_files(files.limit(0), packages).count() == 0
 
@@ -418,6 +426,17 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(t) - 3) if (t[i : i + 4] == p).all()]
 
 
+def test_places_behind_separators():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        texts = [rng.integers(2, 12, rng.integers(1, 12)) for _ in range(20)]
+        t = np.concatenate([np.append(x, 0) for x in texts])
+        index = FMIndex(t, 12)
+        low, high = index.search(np.arange(2, 12)[:, None])
+        for w, a, b in zip(range(2, 12), low, high):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == np.flatnonzero(t == w).tolist()
+
+
 def test_words_of():
     assert words_of("**Bold** &amp; ﬁne can­not <b>go</b> É_x") == ["bold", "fine", "cannot", "go", "e", "x"]
 
@@ -449,6 +468,48 @@ def test_leaks(spark):
     assert find_leaks(df, "doc_id", "text", it.limit(0), "item_id", "task").count() == 0
 
 
+def _leak(spark, item, text):
+    d, i = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, task string")
+    return sorted((r["start_word"], r["end_word"], r["words"], r["edits"]) for r in find_leaks(d, "doc_id", "text", i, "item_id", "task").collect())
+
+
+def test_leaks_around_markup_of_any_length(spark):
+    words = [f"w{i}" for i in range(24)]
+    for tag in ('<a href="http://x.y/' + "z" * 200 + '" target="_blank">', "<b>"):
+        assert _leak(spark, " ".join(words), " ".join([*words[:12], tag, *words[12:]])) == [(0, 24, 24, 0)]
+    link = " ".join([*words[:11], f"[{words[11]}](http://x.y/" + "q/" * 60 + ")", *words[12:]])
+    assert _leak(spark, " ".join(words), link) == [(0, 24, 24, 0)]
+
+
+def test_a_long_gap_in_a_long_passage(spark):
+    words = [f"w{i}" for i in range(300)]
+    assert _leak(spark, " ".join(words), " ".join(words[:140] + words[170:])) == [(0, 270, 300, 30)]
+
+
+def test_all_passages_and_their_spans(spark):
+    from lodestone.llm.leakage import removal_spans
+
+    a, b, noise = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(30)], [f"n{i}" for i in range(50)]
+    text = [*noise[:5], *a[:25], *noise[:20], *a[10:], *b, *noise]
+    d = spark.createDataFrame([(1, " ".join(text)), (1, " ".join(text)), (2, " ".join(a))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[30:], *b[:15]]))], "item_id long, task string")
+    leaks = find_leaks(d.limit(3), "doc_id", "text", i, "item_id", "task")
+    assert sorted({(r["doc_id"], r["item_id"], r["start_word"], r["end_word"]) for r in leaks.collect()}) == [(1, 1, 5, 30), (1, 1, 50, 80), (1, 2, 80, 110), (1, 3, 70, 95), (2, 1, 0, 40)]
+    assert sorted(map(tuple, removal_spans(leaks, "doc_id").collect())) == [(1, 5, 30, 25), (1, 50, 110, 60), (2, 0, 40, 40)]
+    assert removal_spans(leaks.limit(0), "doc_id").count() == 0
+
+
+def test_items_in_several_blocks_find_the_same(spark, monkeypatch):
+    from lodestone.llm import leakage
+
+    items = [(i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(20)]
+    d = spark.createDataFrame([(i, "before " + t + " behind") for i, t in items], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, task string")
+    want = sorted(map(tuple, find_leaks(d, "doc_id", "text", it, "item_id", "task").collect()))
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 1000)
+    assert len(want) == 20 and sorted(map(tuple, find_leaks(d, "doc_id", "text", it, "item_id", "task").collect())) == want
+
+
 # Problem 8
 
 
@@ -486,6 +547,8 @@ def test_residue(text, kind):
         ("const f = (\n" + "  x: number,\n" * 90 + ") => x;", True),
         ("const f: {\n" + "  (x: number): void;\n" * 90 + "} = (x) => x;", True),
         ("const f = (x: number): {\n" + "  a: string;\n" * 90 + "} => g(x);", True),
+        ("export const f = (\n" + "".join(f"  parameter{i}: string,\n" for i in range(70)) + "): number => 1;", True),
+        ("const f = (x: number): " + " | ".join(f"Type{i}" for i in range(100)) + " => x;", True),
         ("const f = (a + b);\nconst g = 1;\nlist.map((x) => x);", False),
         ("declare const f: Foo\nconst g = 1\nlet h = (x) => x", False),
     ],
@@ -509,6 +572,29 @@ def test_residue_among_bullets_and_code(text, kind):
     assert (r := residue_of(text)) is None and kind is None or r is not None and r[0] == kind
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Dear {{ " + "customer.address." * 12 + "name }}, welcome.", "slot"),
+        ("Read [insert the name of the person who is responsible for the delivery and all that comes behind it here].", "slot"),
+        ("<p class='" + "x" * 300 + "'>502 Bad Gateway</p>", "error"),
+    ],
+)
+def test_residue_in_long_slots_and_tags(text, kind):
+    assert residue_of(text)[0] == kind
+
+
+def test_share_is_of_the_text(spark):
+    from lodestone.llm.residue import excluded
+
+    assert residue_of("Access denied.")[1] == 1.0
+    long = "Ships sail over deep water with their cargo. " * 50 + "Access denied."
+    assert 0 < residue_of(long)[1] < 0.02
+    df = spark.createDataFrame([(1, "Access denied."), (2, long), (3, None), (4, "Ships sail.")], "doc_id long, text string")
+    assert [r["doc_id"] for r in excluded(df, "doc_id", "text").collect()] == [1]
+    assert sorted(r["doc_id"] for r in detect_residue(df, "doc_id", "text").collect()) == [1, 2]
+
+
 def test_detect_residue(spark):
     rows = [(1, "Coming soon."), (1, "Coming soon."), (2, None), (3, ""), (4, "Ships sail. " * 40_000 + "Access denied."), (None, "Loading...")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1))
