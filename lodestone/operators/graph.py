@@ -164,15 +164,14 @@ def import_targets(imports: DataFrame, reexports: DataFrame, files: DataFrame, p
 
 
 def follow_aliases(aliases: DataFrame, steps: int = ALIAS_STEPS) -> DataFrame:
-    """(name, target, steps): each alias (name, target) followed up to `steps` links, or until it stops or would repeat.
-
-    A fixpoint by doubling-free joins: one join for each step; loops end at the bound.
-    """
+    """(name, target, steps): each alias (name, target) followed up to `steps` links, or until none goes on; loops end at the bound."""
     links = aliases.select("name", "target").distinct().groupBy("name").agg(F.min("target").alias("target"))
+    nxt = links.select(F.col("name").alias("target"), F.col("target").alias("next"))
     done = links.select("name", "target", F.lit(1).cast("long").alias("steps"))
     for _ in range(steps - 1):
-        nxt = links.select(F.col("name").alias("target"), F.col("target").alias("next"))
-        j = done.join(nxt, "target", "left")
+        j = cut(done.join(nxt, "target", "left").select("name", "target", "next", "steps"))
+        if j.where("next is not null").isEmpty():
+            break
         done = j.select("name", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.when(F.col("next").isNotNull(), 1).otherwise(0)).alias("steps"))
     return done
 
