@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def update(spark: SparkSession, root: str, where: str, files: list[str]) -> str:
     return maintenance.save(spark, new | {"packages": _packages(spark, root)}, where)
 
 
-def retrieve(spark: SparkSession, d: str, text: str, top: int = fusion.SEEDS, hops: int = 2, max_expand: int = man.MAX_EXPAND) -> DataFrame:
+def retrieve(spark: SparkSession, d: str, text: str, config: workspace.Config = workspace.Config()) -> DataFrame:  # noqa: B008 (frozen)
     """The manifest for a task over a saved index, or over the tables in `d`.
 
     The dense list needs a vector of the task: it is made of its tokens by a static model
@@ -80,9 +81,12 @@ def retrieve(spark: SparkSession, d: str, text: str, top: int = fusion.SEEDS, ho
     query = static_model.embed(terms.withColumn("key", F.lit(0)), "key", model, V.DIMS).select(F.col("vector").alias("q"))
     dense = cut(search.top(search.dense(chunks, vectors, query)))
     lists = [search.ranked_files(dense), search.ranked_files(search.top(scored)), search.symbol_files(search.symbol_scores(symbols, task)).select("file", "rank")]
-    weights = fusion.package_weights(packages, fusion.layer_hits(spark, terms))
+    given = [(n, r) for n, r in config.package_roles.items() if r in fusion.ROLES]
+    own = spark.createDataFrame(given, "name string, own string")
+    packages = packages.join(F.broadcast(own), "name", "left").select("name", "dir", F.coalesce("own", "role").alias("role"))  # as many as the configuration names
+    weights = fusion.package_weights(packages, fusion.layer_hits(spark, terms, config.layer_terms), config.package_weights, config.boost, config.weighting)
     weighted = cut(fusion.weigh(fusion.rrf(lists), files, weights))
-    return man.manifest(weighted, fusion.seeds(weighted, top), edges, files, man.matched_symbols(dense, chunks), hops, max_expand, chunks)
+    return man.manifest(weighted, fusion.seeds(weighted, config.top_n), edges, files, man.matched_symbols(dense, chunks), config.hops, config.max_expand, chunks, config.adjacency_bonus)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -97,16 +101,19 @@ def main(args: list[str] | None = None) -> None:
     c = sub.add_parser("retrieve")
     c.add_argument("dir")
     c.add_argument("--task", required=True)
-    c.add_argument("--top", type=int, default=fusion.SEEDS)
-    c.add_argument("--hops", type=int, default=2)
-    c.add_argument("--max-expand", type=int, default=man.MAX_EXPAND)
+    c.add_argument("--root", help="the workspace whose configuration holds")
+    c.add_argument("--top", type=int)
+    c.add_argument("--hops", type=int)
+    c.add_argument("--max-expand", type=int)
     c.add_argument("--json", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
     if a.command != "retrieve":
         print(index(spark, a.root, a.index) if a.command == "index" else update(spark, a.root, a.index, a.files))
         return
-    entries = retrieve(spark, a.dir, a.task, a.top, a.hops, a.max_expand)
+    asked = {"top_n": a.top, "hops": a.hops, "max_expand": a.max_expand}
+    config = workspace.read_config(a.root) if a.root else workspace.Config()
+    entries = retrieve(spark, a.dir, a.task, replace(config, **{k: v for k, v in asked.items() if v is not None}))
     # Seeds and at most --max-expand files: a manifest is short.
     if a.json:
         print(json.dumps([r.asDict() for r in entries.orderBy("pos").collect()]))

@@ -115,6 +115,14 @@ def move_files(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return both.select(F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst")).distinct()
 
 
+def create_files(files: DataFrame, creates: DataFrame) -> DataFrame:
+    """(path, refused): whether each new file (path) is refused because it exists or is created twice; null where it is not."""
+    own = creates.groupBy("path").agg(F.count("*").alias("n"))
+    there = files.select(F.col("file").alias("path")).distinct().withColumn("there", F.lit(True))
+    why = F.when(F.col("there"), "exists").when(F.col("n") > 1, "twice")
+    return own.join(there, "path", "left").select("path", why.alias("refused"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """(key, change): added, deleted or changed between two snapshots."""
     j = before.select(key, F.col(value).alias("_a"), F.lit(1).alias("_in_a")).join(after.select(key, F.col(value).alias("_b"), F.lit(1).alias("_in_b")), key, "full_outer")

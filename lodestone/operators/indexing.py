@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from lodestone import schemas
 from lodestone.functions.code import symbols_of
 from lodestone.functions.paths import is_doc
-from lodestone.operators import graph, structure
+from lodestone.operators import edits, graph, maintenance, structure
 from lodestone.operators.ranking import global_rank
+from lodestone.tables import cut
 
 #: The order of symbols within a file.
 KINDS = ("function", "class", "method", "interface", "type", "enum", "const", "doc")
@@ -52,3 +53,24 @@ def edges_of(contents: DataFrame, files: DataFrame, packages: DataFrame, index:
     found = graph.statements(contents.where(~is_doc(F.col("file"))))
     targets = graph.import_targets(found.select("src", "spec", "name"), found, files, packages, index, aliases)
     return targets.select("src", F.col("target").alias("dst")).distinct()
+
+
+def refresh(index: dict[str, DataFrame], before: DataFrame, after: DataFrame, packages: DataFrame, fallback: str | None = None, aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The index after an edit: `before` and `after` have (file, content) of the whole workspace on both sides of it.
+
+    Only files whose texts differ are read and chunked; what was deleted goes. Numbers of new
+    chunks follow the last one of the index. New chunks have no vectors until they are embedded.
+    """
+    diff = cut(edits.snapshot_diff(before, after, "file", "content"))
+    changed = cut(after.join(diff.where("change <> 'deleted'"), "file", "left_semi").select("file", "content"))
+    last = index["doclen"].agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+    chunks = cut(chunks_of(changed, packages, last, fallback))
+    owner = structure.owners(changed, packages, fallback)
+    files = changed.join(owner, "file").select(
+        "file", F.when(is_doc(F.col("file")), "docs").otherwise(F.col("owner")).alias("pkg"), F.lit(None).cast("double").alias("mtime_ms"),
+        F.size(F.split("content", "\n", -1)).alias("n_lines"), is_doc(F.col("file")).alias("is_doc"),
+    )
+    known = index["chunks"].join(diff.select("file"), "file", "left_anti").select("pkg", F.col("symbol").alias("name"), "kind", "file")
+    names = graph.symbol_index(known.unionByName(chunks.select("pkg", F.col("symbol").alias("name"), "kind", "file")))
+    edges = edges_of(changed, after, packages, names, aliases)
+    return maintenance.updated(index, chunks, index["vectors"].limit(0), edges, files, diff.where("change = 'deleted'"))

@@ -26,7 +26,7 @@ def whole_file(files: DataFrame) -> DataFrame:
     return files.select("file", (F.coalesce("n_lines", F.lit(1 << 30)) <= WHOLE_FILE_LINES).alias("whole"))
 
 
-def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: DataFrame, matched: DataFrame, hops: int = HOPS, max_expand: int = MAX_EXPAND, chunks: DataFrame | None = None) -> DataFrame:
+def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: DataFrame, matched: DataFrame, hops: int = HOPS, max_expand: int = MAX_EXPAND, chunks: DataFrame | None = None, bonus: float = ADJACENCY_BONUS) -> DataFrame:
     """(pos, file, pkg, reason, score, whole, symbols): seeds and the best of what they are linked with.
 
     A file without a package of its own has that of its `chunks`, if they are given and name one.
@@ -35,7 +35,7 @@ def manifest(weighted: DataFrame, seeds: DataFrame, edges: DataFrame, files: Dat
     grown = expand(seeds, edges, hops)
     candidates = seeds.select("file", F.lit(0).cast("long").alias("hop"), "pos", F.when(is_doc(F.col("file")), "doc").otherwise("query-match").alias("reason")).unionByName(grown.select("file", "hop", "pos", "reason"))
     scored = candidates.join(weighted.select("file", F.col("score").alias("base")), "file", "left").join(adjacency(candidates, seeds, edges), "file")
-    scored = scored.withColumn("score", F.round(F.coalesce("base", F.lit(0.0)) + ADJACENCY_BONUS * F.col("adjacent"), 9))
+    scored = scored.withColumn("score", F.round(F.coalesce("base", F.lit(0.0)) + F.lit(bonus) * F.col("adjacent"), 9))
     order = [F.desc("score"), F.asc("hop"), F.asc("pos")]
     kept = scored.where("hop = 0").unionByName(scored.where("hop > 0").orderBy(*order).limit(max_expand))
     names = matched.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "name"))).alias("m")).select("file", F.array_join(F.col("m.name"), ",").alias("symbols"))

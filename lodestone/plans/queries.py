@@ -365,6 +365,12 @@ def arch_template(s, d):
     return structure.templates(_ts(s, d), containers=True)
 
 
+@query
+def arch_template_own(s, d):
+    """Templates of the directories that hold files themselves: only those have a profile."""
+    return structure.templates(_ts(s, d))
+
+
 @query
 def arch_render(s, d):
     return structure.top_suffixes(_ts(s, d))
@@ -420,6 +426,19 @@ def _index(s, d):
     return maintenance.load(s, _SAVED[key])
 
 
+@query
+def post_edit_refresh(s, d):
+    """Chunks by kind of an index made from the texts, after one package's files were emptied and the short files deleted."""
+    before = cut(_sources(s, d))
+    files = V.files_now(s, d)
+    packages = V.packages_now(s, d)
+    index = maintenance.build(cut(indexing.chunks_of(before, packages)), V.vectors_now(s, d).limit(0), V.edges_now(s, d), files.select("file", "pkg", "mtime_ms", "n_lines", "is_doc"))
+    emptied, gone = files.where(F.col("pkg") == HOT_PKG).select("file", F.lit("").alias("empty")), files.where("n_lines <= 20").select("file")
+    after = cut(before.join(gone, "file", "left_anti").join(emptied, "file", "left").select("file", F.coalesce("empty", "content").alias("content")))
+    now = indexing.refresh(index, before, after, packages)["chunks"].where("kind not in ('const', 'doc')")
+    return now.join(table(s, d, "symbols").where("kind <> 'doc'").select("file").distinct(), "file", "left_semi").groupBy("kind").agg(F.countDistinct("chunk_id").alias("n"))
+
+
 @query
 def bm25_indexed(s, d):
     return search.top(search.bm25_indexed(_index(s, d), _terms(s, d)))
@@ -565,6 +584,14 @@ def delete_guard(s, d):
     return edits.delete_guard(table(s, d, "files"), table(s, d, "edges"))
 
 
+@query
+def create_guard(s, d):
+    """Every second chunk's file, in its place and in a directory of its own, as a file to create."""
+    c = V.chunks_now(s, d).where("ord % 2 = 0").select("file")
+    wanted = c.select(F.col("file").alias("path")).distinct().unionByName(c.select(F.concat(F.lit("made/"), "file").alias("path")))
+    return edits.create_files(table(s, d, "files"), wanted)
+
+
 @query
 def move_file_edges(s, d):
     moves = table(s, d, "files").where(F.col("file").startswith("libs/")).select(F.col("file").alias("from_path"), F.regexp_replace("file", "^libs/", "packages/").alias("to_path")).distinct()

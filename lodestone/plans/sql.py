@@ -203,6 +203,7 @@ STATEMENTS = {
     "cross_pkg_targets": "SELECT c.spec, c.name, position, file FROM (SELECT DISTINCT pkg || '/' || symbol AS spec, symbol AS name FROM cn WHERE kind = 'function' AND pkg IS NOT NULL) c JOIN sp ON sp.spec = c.spec JOIN si ON si.pkg = sp.pkg AND si.name = c.name",
     "symbol_extract": "SELECT DISTINCT file, name, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line FROM symbols WHERE kind NOT IN ('doc', 'const')",
     "index_from_sources": "SELECT kind, count(DISTINCT id) AS n FROM symbols WHERE kind NOT IN ('doc', 'const') GROUP BY kind",
+    "post_edit_refresh": f"SELECT kind, count(DISTINCT id) AS n FROM symbols WHERE kind NOT IN ('doc', 'const') AND file NOT IN (SELECT file FROM fn WHERE n_lines <= 20) AND file NOT IN (SELECT file FROM fn WHERE pkg = '{HOT_PKG}') GROUP BY kind",
     "bm25_indexed": "SELECT ord, file, score FROM bk",
     "index_update": f"SELECT ord, file, len, len AS tokens FROM dl WHERE file NOT IN (SELECT file FROM fn WHERE n_lines <= 20) AND (file NOT IN (SELECT file FROM fn WHERE pkg = '{HOT_PKG}') OR ord % 2 = 0)",
     "eval_metrics_files": "SELECT layer, count(*) AS items, count(rank) AS passed, round(avg(rank), 6) AS mean_rank, round(avg(coalesce(1.0::DOUBLE / (rank + 1), 0)), 6) AS mrr FROM (SELECT e.item_id, layer, r.rank FROM eval_items e LEFT JOIN (SELECT br.item_id, min(rank) - 1 AS rank FROM br JOIN (SELECT item_id, unnest(expect) AS file FROM eval_items) w ON w.item_id = br.item_id AND w.file = br.file GROUP BY br.item_id) r ON r.item_id = e.item_id) GROUP BY layer",
@@ -225,6 +226,7 @@ STATEMENTS = {
     "file_suffix": f"SELECT DISTINCT file, {_dir('file')} AS dir, {_suffix(_base('file'))} AS suffix FROM files",
     "arch_map": f"SELECT h.dir, h.files, h.suffixes, d.doc FROM (SELECT dir, sum(n)::BIGINT AS files, array_to_string(list_sort(list(suffix || '=' || n)), ',') AS suffixes FROM hist GROUP BY dir) h LEFT JOIN (SELECT {_dir('file')} AS dir, arg_min({_base('file')}, list_position([{_list(DOC_NAMES)}], {_base('file')})) AS doc FROM (SELECT DISTINCT file FROM source_files) s WHERE {_base('file')} IN ({_list(DOC_NAMES)}) GROUP BY 1) d ON d.dir = h.dir",
     "arch_template": f"SELECT parent AS dir, array_to_string(list_sort(list(suffix)), ',') AS template, modules FROM (SELECT c.parent, c.suffix, modules, count(*) AS k FROM (SELECT DISTINCT dir, suffix, {_dir('dir')} AS parent FROM hist WHERE dir <> '') c JOIN (SELECT {_dir('dir')} AS parent, count(DISTINCT dir) AS modules FROM hist WHERE dir <> '' GROUP BY 1) m ON m.parent = c.parent WHERE modules >= 2 GROUP BY ALL HAVING count(*) >= ceil(modules / 2.0)) GROUP BY parent, modules HAVING count(*) >= 2",
+    "arch_template_own": f"SELECT parent AS dir, array_to_string(list_sort(list(suffix)), ',') AS template, modules FROM (SELECT c.parent, c.suffix, modules, count(*) AS k FROM (SELECT DISTINCT dir, suffix, {_dir('dir')} AS parent FROM hist WHERE dir <> '') c JOIN (SELECT {_dir('dir')} AS parent, count(DISTINCT dir) AS modules FROM hist WHERE dir <> '' GROUP BY 1) m ON m.parent = c.parent WHERE modules >= 2 AND c.parent IN (SELECT dir FROM hist) GROUP BY ALL HAVING count(*) >= ceil(modules / 2.0)) GROUP BY parent, modules HAVING count(*) >= 2",
     "arch_render": "SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY n DESC, suffix) AS place, suffix, n FROM hist QUALIFY place <= 5",
     "doc_sections": f"SELECT file, section::BIGINT AS section, t AS title, a AS start_line, b AS end_line, substring({_base('file')} || ':' || t, 1, 80) AS name, md5(substring('doc ' || t || chr(10) || body, 1, 1500)) AS text FROM (SELECT *, {_SECTION_TITLE} AS t FROM sm)",
     "line_slice": "SELECT ln.file, count(*) AS lines, md5(string_agg(body, chr(10) ORDER BY ln.n)) AS text FROM ln JOIN (SELECT DISTINCT file, unnest(generate_series(start_line, end_line)) AS n FROM sn WHERE start_line <= end_line) r ON r.file = ln.file AND r.n = ln.n GROUP BY ln.file",
@@ -243,6 +245,7 @@ STATEMENTS = {
     "replace_text_unique": "SELECT ord, md5(CASE WHEN symbol <> '' AND len(string_split(text, symbol)) >= 2 AND strpos(substring(text, strpos(text, symbol) + 1), symbol) = 0 THEN replace(text, symbol, 'RENAMED') END) AS text FROM cn WHERE symbol IS NOT NULL",
     "rename_guards": "SELECT rn.file, rn.name, rn.new_name, CASE WHEN contains(rn.file, 'node_modules/') OR ends_with(rn.file, '.d.ts') THEN 'foreign' WHEN t.name IS NOT NULL THEN 'collision' WHEN ok1.kind NOT IN ('function', 'class', 'interface', 'type', 'enum', 'const', 'method') THEN 'kind' WHEN ok1.kind IS NULL THEN 'unknown' END AS refused FROM rn LEFT JOIN ok1 ON ok1.file = rn.file AND ok1.name = rn.name LEFT JOIN (SELECT DISTINCT file, name FROM sn) t ON t.file = rn.file AND t.name = rn.new_name",
     "delete_guard": "SELECT f.file, count(DISTINCT src) AS importers, count(DISTINCT src) = 0 AS allowed FROM (SELECT DISTINCT file FROM files) f LEFT JOIN (SELECT * FROM edges WHERE src <> dst) e ON e.dst = f.file GROUP BY f.file",
+    "create_guard": "SELECT path, CASE WHEN path IN (SELECT file FROM files) THEN 'exists' WHEN count(*) > 1 THEN 'twice' END AS refused FROM (SELECT DISTINCT file AS path FROM cn WHERE ord % 2 = 0 UNION ALL SELECT 'made/' || file FROM cn WHERE ord % 2 = 0) GROUP BY path",
     "move_file_edges": "SELECT DISTINCT coalesce(a.to_path, src) AS src, coalesce(b.to_path, dst) AS dst FROM edges LEFT JOIN mv a ON a.from_path = src LEFT JOIN mv b ON b.from_path = dst WHERE src IS NOT NULL AND dst IS NOT NULL",
     "snapshot_diff": "SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'added' WHEN b.file IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM (SELECT file, n_lines FROM files QUALIFY row_number() OVER (PARTITION BY file ORDER BY indexed_at NULLS FIRST, mtime_ms NULLS FIRST, n_lines NULLS FIRST) = 1) a FULL JOIN (SELECT file, n_lines FROM fn WHERE NOT is_doc) b ON b.file = a.file WHERE a.file IS NULL OR b.file IS NULL OR a.n_lines IS DISTINCT FROM b.n_lines",
     "baseline_diff": "SELECT DISTINCT file, start_line, code, message FROM dg WHERE concat_ws('::', file, code, message) NOT IN (SELECT concat_ws('::', file, code, message) FROM dg WHERE doc IS NOT NULL)",

@@ -105,3 +105,8 @@ def test_cli_index_and_update(spark, tmp_path, capsys):
     cli.main(["retrieve", where, "--task", "silver ring", "--json"])
     entries = json.loads(capsys.readouterr().out)
     assert entries[0]["file"] == "apps/a/src/ring.ts" and entries[0]["pkg"] == "@s/a"
+    # The configuration of the workspace: words of a layer, roles and weights of packages.
+    (root / "lodestone.config.json").write_text(json.dumps({"package_roles": {"@s/a": "mobile", "other": "nothing"}, "layer_terms": {"mobile": ["silver"]}, "package_weights": {"@s/a": 2.0}, "top_n": 1, "boost": 1.0}))
+    cli.main(["retrieve", where, "--task", "silver ring", "--json", "--root", str(root)])
+    weighted = json.loads(capsys.readouterr().out)
+    assert len(weighted) == 1 and weighted[0]["score"] == pytest.approx(4 * entries[0]["score"])
