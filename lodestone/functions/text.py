@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.transform(words, F.lower), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
+def word_tokens(word: str) -> list[str]:
+    """What `tokenize` makes of one run of ASCII letters and digits, for tasks that count many words in Python."""
+    parts = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", word)).split(" ")
+    tokens = [t.lower() for t in ([word, *parts] if len(parts) > 1 else parts)]
+    return [t for t in tokens if len(t) > 1 and t not in STOPWORDS]
+
+
 def explode_tokens(text: Column) -> Column:
     """One row for each token; drop the null row of a text without tokens.
 

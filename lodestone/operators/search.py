@@ -38,39 +38,28 @@ def query_terms(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     return texts.select(*keys, F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term"))
 
 
-def _score(tf: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ord, file, score) from (ord, file, len, term, tf), (term, n) and one row of (n_docs, avgdl)."""
+def _score(tf: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(ord, file, score) from (ord, file, len, term, tf), (term, n) and one row of (n_docs, avgdl)."""
     # One row: broadcasting it is bounded by its form.
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = scored.withColumn("part", part)
-    by = scored.join(terms, "term") if keys else scored
-    return by.groupBy(*keys, "ord", "file").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    return scored.withColumn("part", part).groupBy("ord", "file").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ord, file, score) of every chunk with a term of a query; `keys` tell queries apart.
+def bm25(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(ord, file, score) of every chunk with a term of one query; `batch` searches for many queries.
 
-    Only terms of the queries leave the tokenizer: the corpus is never exploded whole. The
-    terms of one query are few, so its texts are tokenized once, for the lengths and the hits.
-    The terms of many queries are joined instead; they are the small side, and Spark
-    broadcasts them if they are. What is left is written once and read for the frequencies
-    and for the scores.
+    Only terms of the query leave the tokenizer: the corpus is never exploded whole. They are
+    few, so the texts are tokenized once, for the lengths and the hits. What is left is
+    written once and read for the frequencies and for the scores.
     """
-    if keys:
-        wanted = terms.select("term").distinct()
-        # The length in a projection of its own: beside the generator it would be computed for every token.
-        sized = chunks.select("ord", "file", "text", token_count(F.col("text")).alias("len"))
-        found = sized.select("ord", "file", "len", explode_tokens(F.col("text")).alias("term")).join(wanted, "term", "left_semi")
-        tf = cut(found.groupBy("ord", "file", "len", "term").agg(F.count("*").alias("tf")))
-        return _score(tf, tf.groupBy("term").agg(F.count("*").alias("n")), corpus_stats(chunks), terms, *keys)
     wanted = terms.agg(F.collect_set("term").alias("wanted"))  # the terms of one query
     tokens = chunks.select("ord", "file", tokenize(F.col("text")).alias("t")).crossJoin(F.broadcast(wanted))
     found = cut(tokens.select("ord", "file", F.size("t").cast("long").alias("len"), F.filter("t", lambda t: F.array_contains("wanted", t)).alias("hits")))
     tf = found.select("ord", "file", "len", F.explode("hits").alias("term")).groupBy("ord", "file", "len", "term").agg(F.count("*").alias("tf"))
     stats = found.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
-    return _score(tf, tf.groupBy("term").agg(F.count("*").alias("n")), stats, terms)
+    return _score(tf, tf.groupBy("term").agg(F.count("*").alias("n")), stats)
 
 
 def bm25_indexed(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
@@ -83,7 +72,7 @@ def bm25_indexed(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
     words, shards = sorted(r["term"] for r in rows), sorted({r["shard"] for r in rows})
     own = index["postings"].where(F.col("shard").isin(shards) & F.col("term").isin(words)).select("ord", "term", "tf")
     df = index["df"].where(F.col("term").isin(words)).select("term", "n")
-    return _score(own.join(index["doclen"], "ord"), df, index["stats"], terms)
+    return _score(own.join(index["doclen"], "ord"), df, index["stats"])
 
 
 def dense(chunks: DataFrame, vectors: DataFrame, query: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths, vector
 from lodestone.functions.text import explode_tokens, token_count, tokenize
-from lodestone.operators import edits, evaluation, fusion, graph, indexing, maintenance, search, static_model, structure
+from lodestone.operators import batch, edits, evaluation, fusion, graph, indexing, maintenance, search, static_model, structure
 from lodestone.operators import manifest as man
 from lodestone.sources import views as V
 from lodestone.streaming import ingest
@@ -649,7 +649,7 @@ def keyword_grep(s, d):
 def _batch_ranks(s, d):
     items = table(s, d, "eval_items").where("task is not null")
     terms = search.query_terms(items, "task", "item_id")
-    scored = search.bm25(V.chunks_now(s, d).select("ord", "file", "text"), terms, "item_id")
+    scored = batch.best_files(V.chunks_now(s, d), terms, "item_id", search.TOP)
     # The best chunk of each file first: one row for each item and file, then the cut by rank.
     best = scored.groupBy("item_id", "file").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord")).alias("at"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("at")).cast("long")).where(F.col("rank") <= search.TOP)

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, vector
-from lodestone.functions.text import token_count, tokenize
-from lodestone.operators import edits, evaluation, fusion, graph, maintenance, search, structure
+from lodestone.functions.text import token_count, tokenize, word_tokens
+from lodestone.operators import batch, edits, evaluation, fusion, graph, maintenance, search, structure
 from lodestone.operators import manifest as man
 from lodestone.operators.ranking import global_rank
+from lodestone.plans import queries
 
 
 def _one(spark, column, *values):
@@ -55,6 +56,47 @@ def test_bm25_of_an_empty_corpus(spark):
     assert search.bm25(_chunks(spark).limit(0), terms).count() == 0
 
 
+@pytest.mark.parametrize("word", ["buildIndex", "HTTPServer", "parseJSON2Xml", "constVALUE", "X", "THE", "aB", "aTheB", "y2Z", "ABc", "A1b", "aBCd", "ABCDe9F"])
+def test_tokens_of_a_word(spark, word):
+    assert word_tokens(word) == _one(spark, tokenize(F.col("a")), word)
+
+
+@pytest.mark.parametrize("limit", [10**6, 7])
+def test_best_files_of_many_queries(spark, monkeypatch, limit):
+    for name in ("BLOCK_TERMS", "CHARS", "WORDS", "CELLS"):  # with 7: many passes, few texts and chunks at once
+        monkeypatch.setattr(batch, name, limit)
+    words = ["red", "ring", "Bolt", "gearBox", "plate"]
+    rows = [(i, None if i % 11 == 0 else f"f{i % 7}", " ".join(words[: 1 + i % 5] * (1 + i % 3)) if i % 13 else "") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "ord long, file string, text string").repartition(3)
+    tasks = spark.createDataFrame([(f"q{i}", f"{words[i]} {words[(i + 2) % 5]} absent") for i in range(5)], "item string, task string")
+    got = {(r["item"], r["file"]): r["at"] for r in batch.best_files(chunks, search.query_terms(tasks, "task", "item"), "item", 3).groupBy("item", "file").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord")).alias("at")).collect()}
+    for t in tasks.collect():
+        one = {}
+        for r in search.bm25(chunks, search.query_terms(tasks.where(F.col("item") == t["item"]), "task")).collect():
+            one[r["file"]] = min(one.get(r["file"], (0, 0)), (-r["score"], r["ord"]))
+        own = {f: (at["s"], at["ord"]) for (q, f), at in got.items() if q == t["item"]}
+        assert sorted(own.values())[:3] == sorted(one.values())[:3]
+        assert {f for f, _ in sorted(own.items(), key=lambda x: x[1])[:3]} == {f for f, _ in sorted(one.items(), key=lambda x: x[1])[:3]}
+
+
+def test_best_files_of_no_query_or_chunk(spark):
+    terms = search.query_terms(spark.createDataFrame([(1, "red")], "item long, task string"), "task", "item")
+    assert batch.best_files(_chunks(spark).limit(0), terms, "item", 3).count() == 0
+    assert batch.best_files(_chunks(spark), terms.limit(0), "item", 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["bm25_batch"])
+def test_batch_shuffles_no_row_for_each_query_and_chunk(spark, tmp_path, name):
+    c = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("p/q/f"), F.col("id") % 300).alias("file"), F.lit("p").alias("pkg"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.lit("red ring word"), "id").alias("text"))
+    c.write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.range(20).select(F.concat(F.lit("i"), "id").alias("item_id"), F.lit("x").alias("layer"), F.concat(F.lit("red ring task"), "id").alias("task"), F.array(F.lit("p/q/f1")).alias("expect")).write.parquet(f"{tmp_path}/eval_items.parquet")
+    sc = spark.sparkContext
+    written = lambda: sum(x.shuffleWriteRecords() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)))
+    before = written()
+    assert queries.queries()[name](spark, str(tmp_path)).count() > 0
+    assert 0 < written() - before < 3000 * 20 / 2
+
+
 def test_rrf_ties_by_first_place(spark):
     lists = [spark.createDataFrame([(f, i) for i, f in enumerate(x, 1)], "file string, rank long") for x in ("abc", "bd", "da")]
     got = fusion.rrf(lists).orderBy(F.desc("score"), "list", "rank").collect()
