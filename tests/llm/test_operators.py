@@ -242,6 +242,26 @@ def test_blocks_of_rows_and_queries_find_the_same(spark, monkeypatch):
     assert got == _brute(np.arange(600), x.astype(np.float64), 10)
 
 
+def test_many_blocks_move_no_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    x = np.random.default_rng(8).normal(size=(900, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>")
+    sc = spark.sparkContext
+    written = lambda: sum(s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)))
+    before = written()
+    got = {(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, tables=2, axes=1, fine=0).collect()}
+    assert got == _brute(np.arange(900), x.astype(np.float64), 10)
+    assert written() - before < x.nbytes
+
+
+def test_a_copy_is_asked_for_without_the_first_row_of_its_class(spark):
+    x = np.random.default_rng(9).normal(size=(120, 64)).astype(np.float32)
+    x[50] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>")
+    got = {(r["ord"], r["neighbour"]) for r in nearest(df, "ord", "embedding", 10, fine=0, queries=F.col("_id") == 50).collect()}
+    assert len(got) == 10 and (50, 7) in got
+
+
 def test_ties_beyond_float_precision_go_to_the_smaller_id(monkeypatch):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=64) * rng.uniform(0.1, 9, size=(40, 1))).astype(np.float32)  # one direction at 40 lengths
