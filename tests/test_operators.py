@@ -85,7 +85,7 @@ def test_best_files_of_no_query_or_chunk(spark):
     assert batch.best_files(_chunks(spark), terms.limit(0), "item", 3).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_batch", "eval_metrics"])
+@pytest.mark.parametrize("name", ["bm25_batch", "eval_metrics", "eval_metrics_files"])
 def test_batch_shuffles_no_row_for_each_query_and_chunk(spark, tmp_path, name):
     c = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("p/q/f"), F.col("id") % 300).alias("file"), F.lit("p").alias("pkg"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.lit("red ring word"), "id").alias("text"))
     c.write.parquet(f"{tmp_path}/chunks.parquet")
