@@ -97,6 +97,19 @@ def test_batch_shuffles_no_row_for_each_query_and_chunk(spark, tmp_path, name):
     assert 0 < written() - before < 3000 * 20 / 2
 
 
+@pytest.mark.parametrize("name, passed", [("eval_metrics", (20, 20, 0.0, 1.0))])
+def test_metrics_shuffle_no_row_for_each_query_and_chunk(spark, tmp_path, name, passed):
+    c = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("p/q/f"), F.col("id") % 300).alias("file"), F.lit("p").alias("pkg"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.lit("red ring word"), "id").alias("text"))
+    c.write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.range(20).select(F.col("id").alias("item_id"), F.lit("x").alias("layer"), F.concat(F.lit("red ring task"), "id").alias("task"), F.array(F.lit("p/q/f1")).alias("expect")).write.parquet(f"{tmp_path}/eval_items.parquet")
+    sc = spark.sparkContext
+    stages = lambda: list(sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)))
+    before = max([-1, *(x.stageId() for x in stages())])
+    # All columns are asked for: a count of the layers needs no rank, and Spark leaves the search out of it.
+    assert [tuple(r)[1:] for r in queries.queries()[name](spark, str(tmp_path)).collect()] == [passed]
+    assert 20 * 80 <= sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > before) < 3000 * 20 / 2
+
+
 def test_rrf_ties_by_first_place(spark):
     lists = [spark.createDataFrame([(f, i) for i, f in enumerate(x, 1)], "file string, rank long") for x in ("abc", "bd", "da")]
     got = fusion.rrf(lists).orderBy(F.desc("score"), "list", "rank").collect()
