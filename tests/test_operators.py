@@ -97,7 +97,7 @@ def test_batch_shuffles_no_row_for_each_query_and_chunk(spark, tmp_path, name):
     assert 0 < written() - before < 3000 * 20 / 2
 
 
-@pytest.mark.parametrize("name, passed", [("eval_metrics", (20, 20, 0.0, 1.0))])
+@pytest.mark.parametrize("name, passed", [("eval_metrics", (20, 20, 0.0, 1.0)), ("eval_metrics_files", (20, 20, 1.0, 0.5))])
 def test_metrics_shuffle_no_row_for_each_query_and_chunk(spark, tmp_path, name, passed):
     c = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("p/q/f"), F.col("id") % 300).alias("file"), F.lit("p").alias("pkg"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.concat(F.lit("red ring word"), "id").alias("text"))
     c.write.parquet(f"{tmp_path}/chunks.parquet")
